@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact
+from quillon.llm import exact, near
 
 _QUERIES = {
+    "op1_minhash_near_dedup": (near.op1_minhash_near_dedup, near.ORACLE),
     "op4_exact_dedup": (exact.op4_exact_dedup, exact.ORACLE),
 }
 
