@@ -7,7 +7,7 @@ margin of six standard deviations, and then verified on the full sets.
 
 Sets that are equal are one class from the start; only classes are compared. Links are found in rounds so that no group is expanded into all
 its pairs: first every member of a bucket is compared with the bucket's smallest member; after the components are known, buckets that still hold
-several components compare further leaders with the members of other components, until each such pair has been compared.
+several components compare members outside their largest one with the members of other components, until each such pair has been compared.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 _INDEX_BITS = REGISTERS.bit_length() - 1
-#: Buckets with at most so many members that are unlike are compared in full at once; larger ones by so many leaders a round.
-SMALL, LEADERS = 32, 16
+#: Members of a bucket that are compared with the other components of the bucket in one round.
+LEADERS = 48
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _INDEX_BITS)
 #: Row j: the order in which register j asks the others when it is empty.
 _PROBES = np.stack([np.random.default_rng(1000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
@@ -139,12 +139,17 @@ def _lists(ids: list, values: list, ends: list) -> pa.RecordBatch:
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """(bucket, a): all members of small buckets, the LEADERS smallest of others. Ranked in slices first, so that no bucket is sorted in one task."""
-    sized = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    """(bucket, lead, lead_comp): members that are compared with all others of their bucket next, those outside its largest component first.
+
+    Once all members outside of it have led, a bucket is done. Ranked in slices first, so that no bucket is sorted in one task.
+    """
+    counted = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    major = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    rare = members.join(major, "bucket").where("comp <> major")
     sliced = W.partitionBy("bucket", "slice").orderBy("id")
-    first = members.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("at", F.row_number().over(sliced)).where(F.col("at") <= SMALL)
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).join(sized, "bucket")
-    return ranked.where(F.col("rank") <= F.when(F.col("n") <= SMALL, SMALL).otherwise(LEADERS)).select("bucket", F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
+    first = rare.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("at", F.row_number().over(sliced)).where(F.col("at") <= LEADERS)
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("id")))
+    return ranked.where(F.col("rank") <= LEADERS).select("bucket", F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
