@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import hierarchy
+from quillon.plans import dependencies, hierarchy, logs, texts
 
-MODULES = [hierarchy]
+MODULES = [hierarchy, dependencies, texts, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
