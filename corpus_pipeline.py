@@ -1,24 +1,49 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage but the last returns the columns of documents. No stage can be put into SQL as a whole (a trained classifier, hashes, a tokenizer), so
+ORACLE_SQL is None and the tests compare run() with a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact
+from quillon.llm import exact, mixing, near, pieces, toxicity
 from quillon.runtime import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space one stays."""
     return exact.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by sets of five-word shingles with a similarity of 0.8 or more one stays."""
+    return near.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: rows of sources that are to grow repeat, others go."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_pieces and ids of what is left."""
+    return pieces.with_ids(docs).selectExpr("doc_id", "source", "lang", "size(ids) AS n_pieces", "ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", exact_dedup), ("minhash near-dedup", near_dedup), ("mixing", mix), ("sentencepiece", encode)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{k}")

@@ -18,6 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quillon.runtime import ship
 
@@ -126,26 +127,35 @@ class Encoder:
         return b"".join(map(self.vocab.bytes.__getitem__, ids)).decode()[1:]
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """For every row: doc_id, ids. Null and empty texts have no ids. Rows that repeat an id and a text have equal ids; other columns are ignored.
+def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """docs with a column ids (in place of one of that name). Null and empty texts have no ids; rows that repeat an id and a text have equal ids.
 
     A null id is a key like others. model: a SentencePiece model file of merge type that every executor has.
     """
     ship(docs.sparkSession)
+    docs = docs.drop("ids")
+    key, at = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, dropout, seed)
         for b in batches:
             values, ends, done = [], [0], 0
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            for i, (doc, text) in enumerate(zip(b.column(key).to_pylist(), b.column(at).to_pylist())):
                 values.append(np.array(encoder.encode(text, doc), np.int32))
                 ends.append(ends[-1] + len(values[-1]))
                 if ends[-1] > 4 << 20 or i == b.num_rows - 1:
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, i + 1 - done), ids], ["doc_id", "ids"])
+                    part = b.slice(done, i + 1 - done)
+                    yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
                     values, ends, done = [], [0], i + 1
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+
+
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """For every row: doc_id, ids; as with_ids()."""
+    rows = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
+    return with_ids(rows, model=model, dropout=dropout, seed=seed).select("doc_id", "ids")
 
 
 def decoded(pieces: DataFrame, model: str = MODEL) -> DataFrame:
