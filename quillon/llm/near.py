@@ -5,9 +5,9 @@ and ten mantissa bits are stored (16 bits). Registers that no shingle reached bo
 Bands of four registers are the blocking keys. Pairs that share a band are first judged by the collision-corrected estimate of Jaccard, with a
 margin of six standard deviations, and then verified on the full sets.
 
-Sets that are equal are one class from the start; only classes are compared. Links are found in rounds so that no group is expanded into all
-its pairs: first every member of a bucket is compared with the bucket's smallest member; after the components are known, buckets that still hold
-several components compare members outside their largest one with the members of other components, until each such pair has been compared.
+Sets that are equal are one class from the start; only classes are compared. Links are found in two steps so that no group is expanded into
+all its pairs: first every member of a bucket is compared with the bucket's smallest member (estimate, then full sets); buckets that then still hold
+several components compare the members outside their largest one with all others, exactly and in blocks that give out nothing but links.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillon.llm import _text
 from quillon.llm.components import components
@@ -30,8 +29,8 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 _INDEX_BITS = REGISTERS.bit_length() - 1
-#: Members of a bucket that are compared with the other components of the bucket in one round.
-LEADERS = 48
+#: Shingles on either side of a block in which members of unlike components are compared.
+BLOCK = 500_000
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _INDEX_BITS)
 #: Row j: the order in which register j asks the others when it is empty.
 _PROBES = np.stack([np.random.default_rng(1000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
@@ -138,18 +137,91 @@ def _lists(ids: list, values: list, ends: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rep", "hashes"])
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """(bucket, lead, lead_comp): members that are compared with all others of their bucket next, those outside its largest component first.
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products of 0/1 matrices over the elements that occur more than once."""
+    flat = np.concatenate([*a, *b])
+    element, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    shared = count[element] > 1
+    name = np.cumsum(count > 1) - 1
+    row, element = row[shared], name[element[shared]]
+    order = np.argsort(element, kind="stable")
+    row, element = row[order], element[order]
+    out, width = np.zeros((len(a), len(b)), np.int64), 2048
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        x, y = np.searchsorted(element, [low, low + width])
+        grid = np.zeros((len(a) + len(b), width), np.float32)
+        grid[row[x:y], element[x:y] - low] = 1
+        out += (grid[: len(a)] @ grid[len(a) :].T).astype(np.int64)
+    return out
+
+
+def _linked_within(members: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    """members (id, comp, rare, set) of one block -> links between unlike components with a rare end, as many as connect them all."""
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while top.setdefault(c, c) != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    out = []
+    rare = [m for m in members if m[2]]
+    size = np.array([len(m[3]) for m in members])
+    for low in range(0, len(rare), 512):
+        part = rare[low : low + 512]
+        n = np.array([len(m[3]) for m in part])[:, None]
+        both = _intersections([m[3] for m in part], [m[3] for m in members])
+        for i, j in zip(*np.nonzero(both * den >= (n + size[None] - both) * num)):
+            x, y = root(part[i][1]), root(members[j][1])
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((part[i][0], members[j][0]))
+    return out
+
+
+def _between(left: DataFrame, full: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between unlike components of a bucket. left: bucket, id, comp, n (size of the set).
 
-    Once all members outside of it have led, a bucket is done. Ranked in slices first, so that no bucket is sorted in one task.
+    Only members outside the largest component of a bucket (the rare) are compared with all others, exactly and in blocks that hold the sets of
+    about `block` shingles of either side; a task works on one block at a time and gives out links only.
     """
-    counted = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    counted = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     major = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    rare = members.join(major, "bucket").where("comp <> major")
-    sliced = W.partitionBy("bucket", "slice").orderBy("id")
-    first = rare.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("at", F.row_number().over(sliced)).where(F.col("at") <= LEADERS)
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("id")))
-    return ranked.where(F.col("rank") <= LEADERS).select("bucket", F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
+    marked = left.join(major, "bucket").withColumn("rare", F.col("comp") != F.col("major")).drop("major")
+    parts = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / block).cast("int")
+    sizes = marked.groupBy("bucket").agg(parts(F.col("n")).alias("ms"), parts(F.when(F.col("rare"), F.col("n"))).alias("rs"))
+    dealt = marked.join(sizes, "bucket")
+    own = F.pmod(F.xxhash64("id"), F.col("ms")).cast("int"), F.pmod(F.xxhash64("id"), F.greatest("rs", F.lit(1))).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    others = dealt.where("NOT rare").select("bucket", "id", "comp", "rare", own[0].alias("m"), to(F.col("rs")).alias("r"))
+    # a rare member stands in each block of its row as one end, and in its own column's blocks as the other
+    ends = dealt.where("rare").select("bucket", "id", "comp", "rare", to(F.col("ms")).alias("m"), own[1].alias("r"))
+    beside = dealt.where("rare AND rs > 1").select("bucket", "id", "comp", F.lit(False).alias("rare"), own[0].alias("m"), own[1].alias("mine"), to(F.col("rs")).alias("r")).where("r <> mine").drop("mine")
+    rows = others.unionByName(ends).unionByName(beside).join(full.withColumnRenamed("rep", "id"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def links() -> pa.RecordBatch:
+            found = _linked_within(held, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            lists = batch.column("hashes")
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "m", "r")))
+            for i, (key, who, comp, rare) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("id", "comp", "rare")))):
+                if key != at:
+                    if held:
+                        yield links()
+                    at, held = key, []
+                held.append((who, comp, rare, values[ends[i] : ends[i + 1]].copy()))
+        if held:
+            yield links()
+
+    order = ["bucket", "m", "r"]
+    return rows.repartition(*order).sortWithinPartitions(*order).select(*order, "id", "comp", "rare", "hashes").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -174,23 +246,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = materialize(_full_sets(docs, materialize(wanted, "wanted"), shingle).dropDuplicates(["rep"]), "sets")
 
     links = materialize(_verified(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), classes, full, num, den), "links")
-    tested = materialize(members.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct(), "tested")
     found = components(links)
-    left = members.where("id <> hub").select("bucket", "id").union(members.select("bucket", F.col("hub").alias("id")).distinct())
-    while True:
-        left = left.select("bucket", "id").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-        left = materialize(left.join(mixed, "bucket", "left_semi").select("bucket", "id", "comp"), "left")
-        if left.isEmpty():
-            break
-        leads = materialize(_leaders(left), "leaders")
-        pairs = left.join(leads, "bucket").where("comp <> lead_comp").select(F.least("id", "lead").alias("x"), F.greatest("id", "lead").alias("y")).distinct()
-        pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
-        fresh = materialize(_verified(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")), classes, full, num, den), "links")
-        tested, links = tested.union(pairs), links.union(fresh)
-        if not fresh.isEmpty():
-            found = components(links)
-        left = left.join(leads.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
+    everyone = members.where("id <> hub").select("bucket", "id").union(members.select("bucket", F.col("hub").alias("id")).distinct())
+    left = everyone.join(found, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    left = left.join(mixed, "bucket", "left_semi").join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    fresh = materialize(_between(materialize(left, "left"), full, num, den), "links")
+    if not fresh.isEmpty():
+        found = components(links.union(fresh))
     named = materialize(classes.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component")), "named")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
