@@ -116,6 +116,7 @@ ROW = "doc_id long, n_bytes long, digest string, shard string, at long, length l
 def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD) -> DataFrame:
     """docs (doc_id, text) -> a row each with n_bytes, digest, shard, at and length of its stored payload."""
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, known = Shards(folder, shard_bytes), {}
         try:
@@ -160,6 +161,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], folder: str, size) -> Iterator[tu
 def with_metadata(stored: DataFrame, folder: str) -> DataFrame:
     """stored (digest, shard, at, length) with width, height and bits, read from headers only."""
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, heads in _ranges(batches, folder, lambda length: min(HEADER, length)):
             w, h, bits = zip(*map(metadata, heads)) if heads else [()] * 3
@@ -174,6 +176,7 @@ READ = "digest string, width int, height int, payload_bytes long, payload_sha256
 def with_contents(stored: DataFrame, folder: str) -> DataFrame:
     """with_metadata() and what is computed from the stored bytes, read back by range."""
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in _ranges(batches, folder, lambda length: length):
             rows = []

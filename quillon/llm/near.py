@@ -63,6 +63,7 @@ def sets(ids: pa.Array, texts: pa.Array, k: int) -> Iterator[tuple[object, np.nd
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, digest, sig = [], [], [], []
@@ -87,6 +88,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 def _promising(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b, n_a, n_b) whose estimate is not far below the threshold; sizes alone rule out some."""
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -117,6 +119,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, full: DataFrame, num: int, d
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The sorted shingle hashes of the wanted ids."""
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values, ends = [], [], [0]
@@ -200,6 +203,7 @@ def _between(left: DataFrame, full: DataFrame, num: int, den: int, block: int =
     beside = dealt.where("rare AND rs > 1").select("bucket", "id", "comp", F.lit(False).alias("rare"), own[0].alias("m"), own[1].alias("mine"), to(F.col("rs")).alias("r")).where("r <> mine").drop("mine")
     rows = others.unionByName(ends).unionByName(beside).join(full.withColumnRenamed("rep", "id"), "id")
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 

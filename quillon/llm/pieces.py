@@ -2,9 +2,10 @@
 
 Merges of neighbouring symbols are taken from an agenda, best score first, leftmost of equals. A candidate is skipped if a hash of the seed, the
 stream, its piece and its place falls below the dropout rate, so the same text has other segmentations under other seeds, and the same under the
-same. Every word of a document is given one of `STREAMS` streams by a hash of the document's id and the word's place: what a word becomes in a
-stream can then be remembered. Characters without a piece become byte pieces, and so does a literal U+2581, which would otherwise turn into a
-space: decoding gives back every text.
+same. Every word of a document is given one of `STREAMS` streams by a hash of the document's id and the word's place. Words that are new in their
+stream are segmented together: words of one length share an agenda whose best entries are taken in lockstep, with numpy. Long words and words with
+characters that have no piece have an agenda of their own (a heap), with the same result. Characters without a piece become byte pieces, and so
+does a literal U+2581, which would otherwise turn into a space: decoding gives back every text.
 """
 
 from __future__ import annotations
@@ -20,18 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from quillon.llm import _text
 from quillon.runtime import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, STREAMS = 0.1, 20240229, 4
-REMEMBERED = 150_000
+#: Words that a worker remembers, and characters of text that it works on at once.
+REMEMBERED, AT_ONCE = 150_000, 1 << 20
+#: Longest word of the shared agenda (its positions take five bits).
+SHARED = 24
 #: Merges never cross a line feed or the start of a run of spaces.
 _WORDS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+_BREAK = re.compile(r"(?<! ) |\n")
 _MASK = (1 << 64) - 1
+_NEVER = np.int32(2**31 - 1)
+_HASHING = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 class Vocabulary:
-    """Pieces (with spaces in place of U+2581) and their scores."""
+    """Pieces (with spaces in place of U+2581), their scores, and which pairs of pieces merge into which."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -47,6 +55,55 @@ class Vocabulary:
             self.bytes[i] = p.encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
+        self.letters = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
+        #: rank[piece]: place among the scores, equal for equal scores
+        self.rank = np.zeros(len(ids), np.int32)
+        place = {s: k for k, s in enumerate(sorted({s for s, _ in self.scores.values()}))}
+        for s, i in self.scores.values():
+            self.rank[i] = place[s]
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """An open-addressing table of pairs of pieces whose concatenation is a piece."""
+        found = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = i
+        bits = max(4, (4 * len(found)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.merged = np.full(1 << bits, _MASK, np.uint64), np.full(1 << bits, -1, np.int32)
+        keys, values = np.array(list(found), np.uint64), np.array(list(found.values()), np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == _MASK)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[first]], self.merged[at[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_HASHING[0])) >> self.shift).astype(np.int64)
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that a and b make, -1 for none (also where a or b is -1)."""
+        keys = a.astype(np.uint64) << np.uint64(32) | (b.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.merged[at], np.int32(-1))
+        left = np.flatnonzero((seen != keys) & (seen != _MASK))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            seen = self.keys[at[left]]
+            hit = seen == keys[left]
+            out[left[hit]] = self.merged[at[left[hit]]]
+            left = left[~hit & (seen != _MASK)]
+        return out
 
 
 @cache
@@ -55,12 +112,20 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _hash(key: int, piece: int, at: int) -> int:
-    x = (key ^ piece * 0x9E3779B97F4A7C15 ^ (at + 1) * 0xC2B2AE3D27D4EB4F) & _MASK
-    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & _MASK
-    x = (x ^ x >> 29) * 0x94D049BB133111EB & _MASK
+    x = (key ^ piece * _HASHING[0] ^ (at + 1) * _HASHING[1]) & _MASK
+    x = (x ^ x >> 31) * _HASHING[2] & _MASK
+    x = (x ^ x >> 29) * _HASHING[3] & _MASK
     return x >> 32
 
 
+def _hashes(keys: np.ndarray, pieces: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """_hash() of many."""
+    x = keys ^ pieces.astype(np.uint64) * np.uint64(_HASHING[0]) ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(_HASHING[1])
+    x = (x ^ x >> np.uint64(31)) * np.uint64(_HASHING[2])
+    x = (x ^ x >> np.uint64(29)) * np.uint64(_HASHING[3])
+    return x >> np.uint64(32)
+
+
 def segment(word: str, vocab: Vocabulary, key: int, limit: int) -> list[int]:
     """Piece ids of one word. A candidate whose hash is below limit (of 2 ** 32) is skipped."""
     scores, n = vocab.scores, len(word)
@@ -95,33 +160,172 @@ def segment(word: str, vocab: Vocabulary, key: int, limit: int) -> list[int]:
     return out
 
 
+def segment_all(letters: np.ndarray, vocab: Vocabulary, keys: np.ndarray, limit: int) -> np.ndarray:
+    """letters: ids of single characters, a column for each word, all of one length. -> the pieces in the same grid, -1 where a piece goes on.
+
+    Every round takes the best candidate of every word that has one; a word is done when it has none.
+    """
+    n, width = letters.shape
+    out = letters.copy()
+    sym, who = letters.copy(), np.arange(width)
+    after = np.repeat(np.arange(1, n + 1, dtype=np.int8)[:, None], width, 1)
+    before = np.repeat(np.arange(-1, n - 1, dtype=np.int8)[:, None], width, 1)
+    made = np.full((n, width), -1, np.int32)
+    order = np.full((n, width), _NEVER, np.int32)
+
+    def offer(i: np.ndarray, j: np.ndarray, cols: np.ndarray) -> None:
+        piece = vocab.merge(sym[i, cols], sym[j, cols])
+        ok = piece >= 0
+        if limit:
+            ok[ok] = _hashes(keys[cols[ok]], piece[ok], i[ok]) >= limit
+        made[i, cols] = piece
+        order[i, cols] = np.where(ok, vocab.rank[piece] << 5 | i, _NEVER)
+
+    every = np.arange(width)
+    for i in range(n - 1):
+        offer(np.full(width, i), np.full(width, i + 1), every)
+    while True:
+        best = order.min(axis=0)
+        cols = np.flatnonzero(best != _NEVER)
+        if len(cols) < 0.6 * len(best):
+            out[:, who] = sym
+            if not len(cols):
+                return out
+            sym, after, before, made, order, keys, who, best = (x[..., cols] for x in (sym, after, before, made, order, keys, who, best))
+            cols = np.arange(len(cols))
+        i = (best[cols] & 31).astype(np.int64)
+        j = after[i, cols].astype(np.int64)
+        k = after[j, cols].astype(np.int64)
+        h = before[i, cols].astype(np.int64)
+        sym[i, cols], sym[j, cols] = made[i, cols], -1
+        after[i, cols] = k
+        order[i, cols] = order[j, cols] = _NEVER
+        more = k < n
+        before[k[more], cols[more]] = i[more]
+        offer(i[more], k[more], cols[more])
+        more = h >= 0
+        offer(h[more], i[more], cols[more])
+
+
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts; remembers what words become in each stream, within a bound."""
 
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS):
         self.vocab, self.limit = vocabulary(path), int(dropout * 2**32)
         self.seed, self.streams = seed, streams if dropout else 1
-        self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}/{s}".encode(), digest_size=8).digest(), "big") for s in range(self.streams)]
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(self.streams)]
+        self.keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{s}".encode(), digest_size=8).digest(), "big") for s in range(self.streams)], np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = _Numbers()
+        #: for word * streams + stream: where its ids start in flat (-1: not known) and how many they are
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)
+
+    def _learn(self, wanted: np.ndarray) -> None:
+        """Segments the wanted (ascending numbers of word and stream)."""
+        names = list(self.words)
+        which, stream = wanted // self.streams, wanted % self.streams
+        lengths = np.array([len(names[w]) for w in which.tolist()])
+        order = np.argsort(lengths, kind="stable")
+        found, rest = [self.flat], []
+        end = len(self.flat)
+        bounds = np.searchsorted(lengths[order], np.arange(SHARED + 2))
+        for n in range(1, SHARED + 1):
+            for low in range(bounds[n], bounds[n + 1], 1 << 15):
+                at = order[low : min(low + (1 << 15), bounds[n + 1])]
+                codes = np.frombuffer("".join([names[w] for w in which[at].tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+                letters = self.vocab.letters[codes]
+                plain = (letters >= 0).all(1)
+                rest += at[~plain].tolist()
+                at = at[plain]
+                if not len(at):
+                    continue
+                grid = segment_all(np.ascontiguousarray(letters[plain].T), self.vocab, self.keys[stream[at]], self.limit).T
+                stays = grid >= 0
+                self.size[wanted[at]] = counts = stays.sum(1)
+                self.start[wanted[at]] = end + np.cumsum(counts) - counts
+                found.append(grid[stays])
+                end += len(found[-1])
+        for at in [*rest, *order[bounds[SHARED + 1] :].tolist()]:
+            ids = np.array(segment(names[which[at]], self.vocab, int(self.keys[stream[at]]), self.limit), np.int32)
+            self.start[wanted[at]], self.size[wanted[at]] = end, len(ids)
+            found.append(ids)
+            end += len(ids)
+        self.flat = np.concatenate(found)
+
+    def _ids(self, words: list[str], streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        if len(self.words) > REMEMBERED:
+            self._forget()
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) * self.streams + streams
+        if (short := len(self.words) * self.streams - len(self.start)) > 0:
+            self.start = np.concatenate([self.start, np.full(short, -1, np.int64)])
+            self.size = np.concatenate([self.size, np.zeros(short, np.int32)])
+        wanted = np.unique(at[self.start[at] < 0])
+        if len(wanted):
+            self._learn(wanted)
+        size = self.size[at].astype(np.int64)
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def _parts(self, text: str) -> Iterator[list[str]]:
+        """The words of a text (with the space that is put before it), AT_ONCE characters at a time where they part."""
+        text, at = " " + text, 0
+        while at < len(text):
+            end = len(text)
+            if end - at > AT_ONCE and (cut := _BREAK.search(text, at + AT_ONCE)):
+                end = cut.start()
+            yield _WORDS.findall(text, at, end)
+            at = end
+
+    def encode_all(self, texts: list[str | None], docs: list) -> Iterator[np.ndarray]:
+        """The ids of each text; docs: what names each. Null and empty texts have none."""
+        held: list[str] = []
+        counts: list[int] = []
+        seeds: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            ids, sizes = self._ids(held, np.concatenate(seeds) if seeds else np.zeros(0, np.int64))
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
+            yield from (ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+
+        for text, doc in zip(texts, docs):
+            seed = np.uint64(int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=8).digest(), "big"))
+            if text and len(text) > 2 * AT_ONCE:
+                yield from flush()
+                held, counts, seeds, size = [], [], [], 0
+                long, n = [], 0
+                for part in self._parts(text):
+                    long.append(self._ids(part, self._streams(seed, n, len(part)))[0])
+                    n += len(part)
+                yield np.concatenate(long)
+                continue
+            words = _WORDS.findall(" " + text) if text else []
+            held += words
+            counts.append(len(words))
+            seeds.append(self._streams(seed, 0, len(words)))
+            size += len(text or "")
+            if size > AT_ONCE:
+                yield from flush()
+                held, counts, seeds, size = [], [], [], 0
+        yield from flush()
+
+    def _streams(self, seed: np.uint64, first: int, n: int) -> np.ndarray:
+        """The streams of n words from word `first` of a text."""
+        return (_text.mix(seed + np.arange(first, first + n, dtype=np.uint64) * np.uint64(_HASHING[0])) % np.uint64(self.streams)).astype(np.int64)
 
     def encode(self, text: str | None, doc: object = None) -> list[int]:
-        if not text:
-            return []
-        at = int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=8).digest(), "big")
-        out: list[int] = []
-        known, streams = self.known, self.streams
-        for word in _WORDS.findall(" " + text):
-            at = (at * 6364136223846793005 + 1442695040888963407) & _MASK
-            s = (at >> 40) % streams
-            ids = known[s].get(word)
-            if ids is None:
-                ids = segment(word, self.vocab, self.keys[s], self.limit)
-                if len(word) < 64:
-                    if len(known[s]) >= REMEMBERED:
-                        known[s].clear()
-                    known[s][word] = ids
-            out += ids
-        return out
+        return next(self.encode_all([text], [doc])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocab.bytes.__getitem__, ids)).decode()[1:]
@@ -136,12 +340,13 @@ def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     docs = docs.drop("ids")
     key, at = docs.columns.index(id_col), docs.columns.index(text_col)
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, dropout, seed)
         for b in batches:
             values, ends, done = [], [0], 0
-            for i, (doc, text) in enumerate(zip(b.column(key).to_pylist(), b.column(at).to_pylist())):
-                values.append(np.array(encoder.encode(text, doc), np.int32))
+            for i, found in enumerate(encoder.encode_all(b.column(at).to_pylist(), b.column(key).to_pylist())):
+                values.append(found)
                 ends.append(ends[-1] + len(values[-1]))
                 if ends[-1] > 4 << 20 or i == b.num_rows - 1:
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
@@ -162,6 +367,7 @@ def decoded(pieces: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded() -> doc_id, text. No ids (or null) give an empty text."""
     ship(pieces.sparkSession)
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for b in batches:
@@ -177,14 +383,15 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """encoded() and decoded() in one pass, as digests: ids_sha256 is of the ids as 32-bit little-endian numbers."""
     ship(docs.sparkSession)
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, dropout, seed)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(text, doc)
-                back = encoder.decode(ids)
-                rows.append((doc, len(ids), hashlib.sha256(np.array(ids, "<i4")).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for doc, text, ids in zip(docs, texts, encoder.encode_all(texts, docs)):
+                back = encoder.decode(ids.tolist())
+                rows.append((doc, len(ids), hashlib.sha256(ids.astype("<i4")).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
             columns = zip(*rows) if rows else [()] * 5
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "lossless"])

@@ -84,6 +84,7 @@ def _pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -221,6 +222,7 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
 def _judged(length: int, folder: str, memory: int):
     """(anchor, digest, text, lead, n) sorted by anchor -> (anchor, digest, spans) of the windows that are repeated."""
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         columns, anchor, groups, group = Columns(folder, memory), None, [], -1
@@ -321,6 +323,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.where("doc_id IS NOT NULL")
     found = repeated_spans(named, length, **limits).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(_cut(b.column(1), b.column(2)))

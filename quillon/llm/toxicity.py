@@ -24,15 +24,15 @@ from quillon.runtime import materialize, ship
 POSITIVES, UNLABELLED = 5_000, 12_000
 BITS = 22
 #: Features that are kept, and how many standard deviations more often than by chance they must be in P.
-KEPT, LEAST_Z = 1_024, 6.0
+KEPT, LEAST_Z = 1_024, 4.0
 #: Everything that is not an ASCII letter or digit or part of a longer character parts words.
 _PARTS = np.ones(256, bool)
 _PARTS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
-_STEMS = (4, 5, 6)
+_STEMS = (4, 5, 6, 7, 8)
 
 
 def features(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Distinct feature numbers of each of consecutive texts: words and their first 4, 5 and 6 bytes (A-Z lower-cased)."""
+    """Distinct feature numbers of each of consecutive texts: words and their first 4 to 8 bytes (A-Z lower-cased)."""
     for a, b in _text.runs(at):
         for_text: list[np.ndarray] = []
         if b - a > 1 or at[b] - at[a] <= 2 * _text.CHUNK:
@@ -152,11 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     chosen_u = docs.where(in_training(F.col("doc_id"))).select("doc_id").orderBy(*order).limit(unlabelled).withColumn("p", F.lit(0))
     sample = F.broadcast(materialize(chosen_p.union(chosen_u), "sample"))  # at most positives + unlabelled ids
 
+    @_text.frugal
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [f.tobytes() for f in features(*_text.buffers(b.column("text")))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("p"), pa.array(found, pa.binary())], ["doc_id", "p", "found"])
 
+    @_text.frugal
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         p, u = ([np.frombuffer(f, np.int32) for _, kind, f in rows if kind == k] for k in (1, 0))
@@ -174,6 +176,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [model.score(f) for f in features(*_text.buffers(b.column(at)))]

@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ship(docs.sparkSession)
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = automaton(vocabulary), {}
         for b in batches:
