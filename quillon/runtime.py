@@ -12,8 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and holds at most this many rows.
-BROADCAST_ROWS = 2_000_000
+#: A side is broadcast only when its rows and bytes were counted and it holds at most this many bytes.
+BROADCAST_BYTES = 48 << 20
+#: Arrow batches end at so many bytes where the session sets no limit: 10,000 long texts at once would be far more.
+ARROW_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 
@@ -39,13 +41,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay under limit; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def measured(df: DataFrame) -> int:
+    """Bytes that df holds as a hash table, about: 16 for a row, 8 for a column, and the length of strings, arrays and the like."""
+    long = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    nested = [c for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
+    sizes = [F.octet_length(f"`{c}`") for c in long] + [F.octet_length(F.to_json(f"`{c}`")) for c in nested]
+    rows, extra = df.agg(F.count("*"), F.coalesce(sum((F.coalesce(F.sum(n), F.lit(0)) for n in sizes), F.lit(0)), F.lit(0))).first()
+    return rows * (16 + 8 * len(df.columns)) + extra
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it was measured to be small; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if measured(df) <= limit else df
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once for each application."""
+    """Hand this package to the executors, once for each application, and bound the batches that go to Python."""
+    unlimited = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if unlimited is None or int(unlimited) >= 1 << 31:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
