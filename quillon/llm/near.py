@@ -190,10 +190,10 @@ def _between(left: DataFrame, full: DataFrame, num: int, den: int, block: int =
     about `block` shingles of either side; a task works on one block at a time and gives out links only.
     """
     counted = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    major = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    major = bounded(materialize(counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major")), "major"))
     marked = left.join(major, "bucket").withColumn("rare", F.col("comp") != F.col("major")).drop("major")
     parts = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / block).cast("int")
-    sizes = marked.groupBy("bucket").agg(parts(F.col("n")).alias("ms"), parts(F.when(F.col("rare"), F.col("n"))).alias("rs"))
+    sizes = bounded(materialize(marked.groupBy("bucket").agg(parts(F.col("n")).alias("ms"), parts(F.when(F.col("rare"), F.col("n"))).alias("rs")), "sizes"))
     dealt = marked.join(sizes, "bucket")
     own = F.pmod(F.xxhash64("id"), F.col("ms")).cast("int"), F.pmod(F.xxhash64("id"), F.greatest("rs", F.lit(1))).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = 2 * ROWS
     keys = F.array(*(F.concat(F.lit(bytes([b])), F.substring("sig", width * b + 1, width)) for b in range(BANDS)))
     banded = classes.select(F.col("rep").alias("id"), F.explode(keys).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last")
+    # written first: a join of two plain shuffles can be split where a bucket holds very many rows, one on top of an aggregate cannot
+    shared = materialize(banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last"), "hubs")
     members = materialize(banded.join(shared, "bucket"), "members")
     wanted = members.select(F.col("id").alias("rep")).distinct()
     full = materialize(_full_sets(docs, materialize(wanted, "wanted"), shingle).dropDuplicates(["rep"]), "sets")
@@ -254,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     everyone = members.where("id <> hub").select("bucket", "id").union(members.select("bucket", F.col("hub").alias("id")).distinct())
     left = everyone.join(found, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    left = left.join(mixed, "bucket", "left_semi").join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    left = left.join(bounded(materialize(mixed, "mixed")), "bucket", "left_semi").join(classes.select(F.col("rep").alias("id"), "n"), "id")
     fresh = materialize(_between(materialize(left, "left"), full, num, den), "links")
     if not fresh.isEmpty():
         found = components(links.union(fresh))

@@ -270,6 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, memory: int = 32 << 20
     ship(spark)
     seen = materialize(occurrences(docs, length), "occurrences")
     anchors = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    anchors = materialize(anchors, "anchors")  # written first: a join of two plain shuffles can be split where an anchor stands in very many places
     again = materialize(seen.join(anchors, "anchor"), "again")
     kinds = again.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "size", "lead")).alias("at")).select("anchor", "digest", "n", "at.*")
     kinds = materialize(kinds, "kinds")
