@@ -61,6 +61,7 @@ def listed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = pages.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("suffix"))
     rule = F.concat("suffix", "start")
     fits = hosts.join(bounded(own), "suffix").groupBy(F.col("host").alias("__host")).agg(F.collect_set(F.struct(F.length(rule).alias("n"), rule.alias("rule"), "start", "verdict")).alias("__fits"))
+    fits = bounded(materialize(fits, "fits"))  # written first: a join on top of an aggregate cannot be split where a host has very many pages
     best = F.array_max(F.filter("__fits", lambda r: F.startswith(F.col("path"), r["start"])))
     joined = pages.join(fits, pages.host == fits["__host"], "left").withColumn("__best", best)
     return joined.withColumns({"rule": F.col("__best.rule"), "listed": F.col("__best.verdict")}).drop("__host", "__fits", "__best")
