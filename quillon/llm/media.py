@@ -46,7 +46,7 @@ def encode(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
     lines[:, 1:] = rows
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 3)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 6)) + _chunk(b"IEND", b"")
 
 
 def metadata(head: bytes) -> tuple[int, int, int]:
