@@ -64,12 +64,16 @@ def _absolute(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
 
 
 def resolved(cat: Catalog, externals: DataFrame) -> DataFrame:
-    """Every reference with tag (internal, external, unresolved or other), package, target module and symbol. externals: project_id, name.
+    """Every reference with tag (internal, external, unresolved or other), package, target module and symbol. externals: project_id, name."""
+    return resolve(_located(cat, cat.refs), cat, externals)
+
+
+def resolve(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
+    """rows (project_id, file_id, seq, module, segments, ...) with tag, package, target and symbol; file_id and seq name a row.
 
     A name that is nothing else is looked up once among the imports of its file: the first of them, inline paths included, that ends with it.
     """
-    refs = _located(cat, cat.refs).withColumn("segs", F.col("segments"))
-    known = _absolute(refs, cat, externals)
+    known = _absolute(rows.withColumn("segs", F.col("segments")), cat, externals)
     imports = cat.refs.where("NOT glob AND size(segments) > 1").groupBy("project_id", "file_id", F.element_at("segments", -1).alias("first"))
     imports = imports.agg(F.min_by("segments", "seq").alias("import"))
     direct = known.where("tag <> 'name'")
@@ -215,6 +219,30 @@ def users(references: DataFrame) -> DataFrame:
     return named.groupBy("project_id", "target", "symbol", "file_id").agg(F.array_join(F.array_sort(F.collect_set("line")), ",").alias("lines"))
 
 
+def callers(cat: Catalog, externals: DataFrame, module: list[str], name: str, owner: str | None = None) -> DataFrame:
+    """project_id, file_id, seq, line, caller of the calls of one item by path, outside of tests; calls on a receiver cannot be told.
+
+    A method is called as Self::name inside its own type and module, or by way of a path that resolves to its type; a function by a path that
+    resolves to it. In the item's own module a single segment that resolves to nothing means it too.
+    """
+    segs = F.filter(F.split(docs.without_generics(F.regexp_replace("callee", "::<", "<")), "::"), lambda x: x != "")
+    calls = _located(cat, cat.calls.where("NOT in_test AND method IS NULL").withColumn("segs", segs)).where(F.element_at(F.when(F.size("segs") > 0, F.col("segs")), -1) == name)
+    before = F.slice("segs", F.lit(1), F.greatest(F.size("segs") - 1, F.lit(0)))
+    here = F.col("module") == F.array(*map(F.lit, module)).cast("array<string>")
+    calls = calls.withColumns({"segments": before if owner else F.col("segs"), "local": here})
+    own = calls.limit(0)
+    if owner:
+        of_self = (F.size("segments") > 0) & (F.element_at(F.when(F.size("segments") > 0, F.col("segments")), -1) == "Self")
+        own = calls.where(of_self & F.col("local") & (F.col("owner.ty") == owner))
+        calls = calls.where(F.element_at(F.when(F.size("segments") > 0, F.col("segments")), -1) == owner)
+    found = resolve(calls.select(*_REF, "line", "owner", "module", "segments", "local"), cat, externals)
+    hit = (F.col("tag") == "internal") & (F.col("target") == F.array(*map(F.lit, module)).cast("array<string>")) & (F.col("symbol") == F.element_at("segments", -1))
+    loose = (F.col("tag") == "other") & F.col("local") & (F.size("segments") == 1)
+    free = F.when(F.size("module") > 0, F.concat_ws("::", F.element_at("module", -1), F.col("owner.name"))).otherwise(F.col("owner.name"))
+    caller = F.when(F.col("owner").isNull(), "(module)").when(F.col("owner.ty").isNotNull(), F.concat_ws("::", "owner.ty", "owner.name")).otherwise(free).alias("caller")
+    return found.where(hit | loose).select(*_REF, "line", caller).union(own.select(*_REF, "line", caller))
+
+
 def items_between(cat: Catalog, asked: DataFrame) -> DataFrame:
     """asked: project_id, file_id, from, to (lines). The items that meet each range, by start line; re-exports and test-only items are left out."""
     rows = cat.items.where("kind <> 'use' AND NOT test_only")
