@@ -21,16 +21,16 @@ PARSED = (
     "project_id string, path string, module array<string>, lines int, module_doc array<string>, module_doc_line int, parse_errors boolean, "
     f"items array<{_ITEM}>, refs array<{_REF}>, calls array<{_CALL}>, trait_impls array<struct<ty: string, trait_name: string>>, tests array<struct<name: string, doc: array<string>>>"
 )
-EXTENSIONS = {"rust": ("rs",), "ecmascript": ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")}
+EXTENSIONS = {"rust": ("rs",)}
 _CHILDREN = ("items", "refs", "calls", "trait_impls", "tests")
 
 
 def _adapter(language: str):
-    if language == "rust":
-        from quillon.sources import rust as found
-    else:
-        from quillon.sources import ecmascript as found
-    return found
+    if language not in EXTENSIONS:
+        raise ValueError(f"no parser for {language}")
+    from quillon.sources import rust
+
+    return rust
 
 
 def read_tree(spark: SparkSession, root: str, source_dir: str, language: str, project_id: str = "") -> DataFrame:
@@ -51,10 +51,10 @@ def read_tree(spark: SparkSession, root: str, source_dir: str, language: str, pr
 
 def parsed(files: DataFrame, language: str, source_dir: str = "src") -> DataFrame:
     """files (project_id, path, source) -> a row for each file that belongs to a module, with what is in it as arrays in source order."""
+    adapter = _adapter(language)
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adapter = _adapter(language)
         skip = [p for p in source_dir.split("/") if p not in ("", ".")]
         for batch in batches:
             rows = []
@@ -63,7 +63,7 @@ def parsed(files: DataFrame, language: str, source_dir: str = "src") -> DataFram
                 module = adapter.module_of(parts[len(skip) :]) if parts[: len(skip)] == skip else None
                 if module is None:
                     continue
-                found = asdict(adapter.parse(source or "", path=parts[len(skip) :]) if language != "rust" else adapter.parse(source or ""))
+                found = asdict(adapter.parse(source or ""))
                 for kind in ("refs", "calls"):
                     for r in found[kind]:
                         r["owner"] = {"ty": r["owner"][0], "name": r["owner"][1]} if r["owner"] else None
