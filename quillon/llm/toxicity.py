@@ -24,15 +24,15 @@ from quillon.runtime import materialize, ship
 POSITIVES, UNLABELLED = 5_000, 12_000
 BITS = 22
 #: Features that are kept, and how many standard deviations more often than by chance they must be in P.
-KEPT, LEAST_Z = 1_024, 4.0
+KEPT, LEAST_Z = 1_024, 5.0
 #: Everything that is not an ASCII letter or digit or part of a longer character parts words.
 _PARTS = np.ones(256, bool)
 _PARTS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
-_STEMS = (4, 5, 6, 7, 8)
+_STEMS = (4, 5, 6)
 
 
 def features(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Distinct feature numbers of each of consecutive texts: words and their first 4 to 8 bytes (A-Z lower-cased)."""
+    """Distinct feature numbers of each of consecutive texts: words and their first 4, 5 and 6 bytes (A-Z lower-cased)."""
     for a, b in _text.runs(at):
         for_text: list[np.ndarray] = []
         if b - a > 1 or at[b] - at[a] <= 2 * _text.CHUNK:
