@@ -1,11 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Merges of neighbouring symbols are taken from an agenda, best score first, leftmost of equals. A candidate is skipped if a hash of the seed, the
-stream, its piece and its place falls below the dropout rate, so the same text has other segmentations under other seeds, and the same under the
-same. Every word of a document is given one of `STREAMS` streams by a hash of the document's id and the word's place. Words that are new in their
-stream are segmented together: words of one length share an agenda whose best entries are taken in lockstep, with numpy. Long words and words with
-characters that have no piece have an agenda of their own (a heap), with the same result. Characters without a piece become byte pieces, and so
-does a literal U+2581, which would otherwise turn into a space: decoding gives back every text.
+Merges of neighbouring symbols are taken from an agenda, best score first, leftmost of equals. Each candidate that is met is skipped with the dropout
+rate, as the library does it: the draw is a hash of the seed, the document, the copy of it, the word's place in it and the candidate's number in the
+word. Every occurrence of a word thus has draws of its own, and the same text has other segmentations under other seeds, and the same under the same.
+What a word becomes depends only on the numbers of the candidates that were skipped, so the results are remembered by these (within a bound), which
+changes none of them. Those that are new are segmented together: words of one length share an agenda whose best entries are taken in lockstep, with
+numpy. Words with characters that have no piece have an agenda of their own (a heap), with the same result; so have long words, which are not
+remembered. Characters without a piece become byte pieces, and so does a literal U+2581, which would otherwise turn into a space: decoding gives back
+every text.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -25,11 +27,11 @@ from quillon.llm import _text
 from quillon.runtime import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, STREAMS = 0.1, 20240229, 4
-#: Words that a worker remembers, and characters of text that it works on at once.
-REMEMBERED, AT_ONCE = 150_000, 1 << 20
-#: Longest word of the shared agenda (its positions take five bits).
-SHARED = 24
+DROPOUT, SEED = 0.1, 20240229
+#: Segmentations that a worker remembers, and characters of text that it works on at once.
+REMEMBERED, AT_ONCE = 250_000, 1 << 20
+#: Longest word of the shared agenda (its positions take five bits), and fewest words of one length for which it pays.
+SHARED, FEWEST = 24, 24
 #: Merges never cross a line feed or the start of a run of spaces.
 _WORDS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _BREAK = re.compile(r"(?<! ) |\n")
@@ -111,31 +113,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _hash(key: int, piece: int, at: int) -> int:
-    x = (key ^ piece * _HASHING[0] ^ (at + 1) * _HASHING[1]) & _MASK
-    x = (x ^ x >> 31) * _HASHING[2] & _MASK
-    x = (x ^ x >> 29) * _HASHING[3] & _MASK
-    return x >> 32
+def _draws(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The draws (of 2 ** 32) of words with these keys for their candidates of these numbers."""
+    return _text.mix(keys ^ (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(_HASHING[1])) >> np.uint64(32)
 
 
-def _hashes(keys: np.ndarray, pieces: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """_hash() of many."""
-    x = keys ^ pieces.astype(np.uint64) * np.uint64(_HASHING[0]) ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(_HASHING[1])
-    x = (x ^ x >> np.uint64(31)) * np.uint64(_HASHING[2])
-    x = (x ^ x >> np.uint64(29)) * np.uint64(_HASHING[3])
-    return x >> np.uint64(32)
+def _draw(key: int, number: int) -> int:
+    """_draws() of one."""
+    x = (key ^ (number + 1) * _HASHING[1]) & _MASK
+    x = (x ^ x >> 30) * _HASHING[2] & _MASK
+    x = (x ^ x >> 27) * _HASHING[3] & _MASK
+    return (x ^ x >> 31) >> 32
 
 
-def segment(word: str, vocab: Vocabulary, key: int, limit: int) -> list[int]:
-    """Piece ids of one word. A candidate whose hash is below limit (of 2 ** 32) is skipped."""
-    scores, n = vocab.scores, len(word)
+def _walk(word: str, vocab: Vocabulary, skipped: Callable[[int], bool]) -> tuple[list[int], int]:
+    """Piece ids of one word, and how many candidates were met. skipped: of a candidate's number."""
+    scores, n, met = vocab.scores, len(word), 0
     parts: list[str | None] = list(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[float, int, str]] = []
 
     def offer(i: int, j: int) -> None:
         found = scores.get(parts[i] + parts[j])
-        if found is not None and (not limit or _hash(key, found[1], i) >= limit):
+        if found is not None:
             heapq.heappush(agenda, (found[0], i, parts[i] + parts[j]))
 
     for i in range(n - 1):
@@ -145,6 +145,9 @@ def segment(word: str, vocab: Vocabulary, key: int, limit: int) -> list[int]:
         j = after[i] if parts[i] is not None else n
         if j >= n or parts[i] + parts[j] != merged:
             continue
+        met += 1
+        if skipped(met - 1):
+            continue
         parts[i], parts[j] = merged, None
         k = after[i] = after[j]
         if k < n:
@@ -157,17 +160,23 @@ def segment(word: str, vocab: Vocabulary, key: int, limit: int) -> list[int]:
         if p is not None:
             found = vocab.ids.get(p)
             out.extend([found] if found is not None else [vocab.byte_ids[b] for b in p.encode()])
-    return out
+    return out, met
+
+
+def segment(word: str, vocab: Vocabulary, key: int, limit: int) -> list[int]:
+    """Piece ids of one word. A candidate whose draw is below limit (of 2 ** 32) is skipped."""
+    return _walk(word, vocab, lambda number: _draw(key, number) < limit)[0]
 
 
-def segment_all(letters: np.ndarray, vocab: Vocabulary, keys: np.ndarray, limit: int) -> np.ndarray:
-    """letters: ids of single characters, a column for each word, all of one length. -> the pieces in the same grid, -1 where a piece goes on.
+def segment_all(letters: np.ndarray, vocab: Vocabulary, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """letters: ids of single characters, a column for each word, all of one length; skips: 128 bits for each word (two rows), set for candidates that
+    are skipped. -> the pieces in the same grid, -1 where a piece goes on, and how many candidates each word met.
 
     Every round takes the best candidate of every word that has one; a word is done when it has none.
     """
     n, width = letters.shape
-    out = letters.copy()
-    sym, who = letters.copy(), np.arange(width)
+    out, met_out = letters.copy(), np.zeros(width, np.int64)
+    sym, who, met = letters.copy(), np.arange(width), np.zeros(width, np.int64)
     after = np.repeat(np.arange(1, n + 1, dtype=np.int8)[:, None], width, 1)
     before = np.repeat(np.arange(-1, n - 1, dtype=np.int8)[:, None], width, 1)
     made = np.full((n, width), -1, np.int32)
@@ -175,11 +184,8 @@ def segment_all(letters: np.ndarray, vocab: Vocabulary, keys: np.ndarray, limit:
 
     def offer(i: np.ndarray, j: np.ndarray, cols: np.ndarray) -> None:
         piece = vocab.merge(sym[i, cols], sym[j, cols])
-        ok = piece >= 0
-        if limit:
-            ok[ok] = _hashes(keys[cols[ok]], piece[ok], i[ok]) >= limit
         made[i, cols] = piece
-        order[i, cols] = np.where(ok, vocab.rank[piece] << 5 | i, _NEVER)
+        order[i, cols] = np.where(piece >= 0, vocab.rank[piece] << 5 | i, _NEVER)
 
     every = np.arange(width)
     for i in range(n - 1):
@@ -188,18 +194,23 @@ def segment_all(letters: np.ndarray, vocab: Vocabulary, keys: np.ndarray, limit:
         best = order.min(axis=0)
         cols = np.flatnonzero(best != _NEVER)
         if len(cols) < 0.6 * len(best):
-            out[:, who] = sym
+            out[:, who], met_out[who] = sym, met
             if not len(cols):
-                return out
-            sym, after, before, made, order, keys, who, best = (x[..., cols] for x in (sym, after, before, made, order, keys, who, best))
+                return out, met_out
+            sym, after, before, made, order, skips, met, who, best = (x[..., cols] for x in (sym, after, before, made, order, skips, met, who, best))
             cols = np.arange(len(cols))
         i = (best[cols] & 31).astype(np.int64)
+        order[i, cols] = _NEVER
+        number = met[cols]
+        met[cols] += 1
+        taken = (skips[number >> 6, cols] >> (number & 63).astype(np.uint64) & np.uint64(1)) == 0
+        i, cols = i[taken], cols[taken]
         j = after[i, cols].astype(np.int64)
         k = after[j, cols].astype(np.int64)
         h = before[i, cols].astype(np.int64)
         sym[i, cols], sym[j, cols] = made[i, cols], -1
         after[i, cols] = k
-        order[i, cols] = order[j, cols] = _NEVER
+        order[j, cols] = _NEVER
         more = k < n
         before[k[more], cols[more]] = i[more]
         offer(i[more], k[more], cols[more])
@@ -210,31 +221,50 @@ def segment_all(letters: np.ndarray, vocab: Vocabulary, keys: np.ndarray, limit:
 class _Numbers(dict):
     """Numbers things in the order in which they are first asked for."""
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, key: str | int) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
         return n
 
 
 class Encoder:
-    """Encodes texts; remembers what words become in each stream, within a bound."""
+    """Encodes texts; remembers what words become with each set of skipped candidates, within a bound."""
 
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS):
-        self.vocab, self.limit = vocabulary(path), int(dropout * 2**32)
-        self.seed, self.streams = seed, streams if dropout else 1
-        self.keys = np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{s}".encode(), digest_size=8).digest(), "big") for s in range(self.streams)], np.uint64)
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
+        self.vocab, self.limit, self.seed = vocabulary(path), int(dropout * 2**32), seed
+        #: The key of an occurrence of a word is any number of 64 bits; these are the first few, among which one does without dropout.
+        self.streams = 4 if dropout else 1
+        self.keys = np.arange(self.streams, dtype=np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self.words = _Numbers()
-        #: for word * streams + stream: where its ids start in flat (-1: not known) and how many they are
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: Of a word without skips, and of number << 32 | candidate for what is as that number but skips this later candidate too.
+        self.numbers = _Numbers()
+        self.words: list[str] = []
+        self.skips = np.zeros((2, 0), np.uint64)
+        #: By number: where its ids start in flat, how many they are, and how many candidates it meets.
+        self.start, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, wanted: np.ndarray) -> None:
-        """Segments the wanted (ascending numbers of word and stream)."""
-        names = list(self.words)
-        which, stream = wanted // self.streams, wanted % self.streams
-        lengths = np.array([len(names[w]) for w in which.tolist()])
+    def _learn(self) -> None:
+        """Segments what has a number but is not known: words, or what skips one more candidate."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if not fresh:
+            return
+        n = len(fresh)
+        if isinstance(fresh[0], str):
+            words, skips = fresh, np.zeros((2, n), np.uint64)
+        else:
+            keys = np.array(fresh, np.int64)
+            parents, number = keys >> 32, keys & 0xFFFFFFFF
+            words, skips = [self.words[p] for p in parents.tolist()], self.skips[:, parents]
+            skips[number >> 6, np.arange(n)] |= np.uint64(1) << (number & 63).astype(np.uint64)
+        self.words += words
+        start, size, met = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         found, rest = [self.flat], []
         end = len(self.flat)
@@ -242,40 +272,71 @@ class Encoder:
         for n in range(1, SHARED + 1):
             for low in range(bounds[n], bounds[n + 1], 1 << 15):
                 at = order[low : min(low + (1 << 15), bounds[n + 1])]
-                codes = np.frombuffer("".join([names[w] for w in which[at].tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+                if len(at) < FEWEST:
+                    rest += at.tolist()
+                    continue
+                codes = np.frombuffer("".join([words[w] for w in at.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
                 letters = self.vocab.letters[codes]
                 plain = (letters >= 0).all(1)
                 rest += at[~plain].tolist()
                 at = at[plain]
                 if not len(at):
                     continue
-                grid = segment_all(np.ascontiguousarray(letters[plain].T), self.vocab, self.keys[stream[at]], self.limit).T
+                grid, met[at] = segment_all(np.ascontiguousarray(letters[plain].T), self.vocab, skips[:, at])
+                grid = grid.T
                 stays = grid >= 0
-                self.size[wanted[at]] = counts = stays.sum(1)
-                self.start[wanted[at]] = end + np.cumsum(counts) - counts
+                size[at] = counts = stays.sum(1)
+                start[at] = end + np.cumsum(counts) - counts
                 found.append(grid[stays])
                 end += len(found[-1])
-        for at in [*rest, *order[bounds[SHARED + 1] :].tolist()]:
-            ids = np.array(segment(names[which[at]], self.vocab, int(self.keys[stream[at]]), self.limit), np.int32)
-            self.start[wanted[at]], self.size[wanted[at]] = end, len(ids)
-            found.append(ids)
+        for at in rest:
+            bits = int(skips[0, at]) | int(skips[1, at]) << 64
+            ids, met[at] = _walk(words[at], self.vocab, lambda number, bits=bits: bool(bits >> number & 1))
+            start[at], size[at] = end, len(ids)
+            found.append(np.array(ids, np.int32))
             end += len(ids)
         self.flat = np.concatenate(found)
-
-    def _ids(self, words: list[str], streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and how many each has."""
-        if len(self.words) > REMEMBERED:
+        self.start, self.size, self.met = (np.concatenate(x) for x in ((self.start, start), (self.size, size), (self.met, met)))
+        self.skips = np.concatenate([self.skips, skips], 1)
+
+    def _find(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """The number of what each of these words (of at most SHARED characters) becomes under its key."""
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self._learn()
+        left, number = np.arange(len(words) if self.limit else 0), np.zeros(len(words), np.int64)
+        while len(left):
+            skipping = []
+            while len(left := left[number[left] < self.met[at[left]]]):
+                skips = _draws(keys[left], number[left]) < self.limit
+                skipping.append(left[skips])
+                left = left[~skips]
+                number[left] += 1
+            left = np.concatenate([np.zeros(0, np.int64), *skipping])
+            at[left] = np.fromiter(map(self.numbers.__getitem__, (at[left] << 32 | number[left]).tolist()), np.int64, len(left))
+            number[left] += 1
+            self._learn()
+        return at
+
+    def _ids(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each with the draws of its key, and how many each has."""
+        if len(self.numbers) > REMEMBERED:
             self._forget()
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) * self.streams + streams
-        if (short := len(self.words) * self.streams - len(self.start)) > 0:
-            self.start = np.concatenate([self.start, np.full(short, -1, np.int64)])
-            self.size = np.concatenate([self.size, np.zeros(short, np.int32)])
-        wanted = np.unique(at[self.start[at] < 0])
-        if len(wanted):
-            self._learn(wanted)
-        size = self.size[at].astype(np.int64)
+        keys = keys.astype(np.uint64)
+        long = [k for k, w in enumerate(words) if len(w) > SHARED]
+        extra = []
+        if long:
+            words = list(words)
+            for k in long:
+                extra.append(np.array(segment(words[k], self.vocab, int(keys[k]), self.limit), np.int32))
+                words[k] = ""
+        at = self._find(words, keys)
+        start, size, flat = self.start[at], self.size[at].astype(np.int64), self.flat
+        if long:
+            counts = np.fromiter(map(len, extra), np.int64, len(extra))
+            size[long], start[long] = counts, len(flat) + np.cumsum(counts) - counts
+            flat = np.concatenate([flat, *extra])
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+        return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text (with the space that is put before it), AT_ONCE characters at a time where they part."""
@@ -287,65 +348,68 @@ class Encoder:
             yield _WORDS.findall(text, at, end)
             at = end
 
-    def encode_all(self, texts: list[str | None], docs: list) -> Iterator[np.ndarray]:
-        """The ids of each text; docs: what names each. Null and empty texts have none."""
+    def encode_all(self, texts: list[str | None], docs: list, copies: list | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text; docs: what names each; copies: which copy of it each is (by default 1). Null and empty texts have none."""
         held: list[str] = []
         counts: list[int] = []
         seeds: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[np.ndarray]:
-            ids, sizes = self._ids(held, np.concatenate(seeds) if seeds else np.zeros(0, np.int64))
+            ids, sizes = self._ids(held, np.concatenate(seeds) if seeds else np.zeros(0, np.uint64))
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
             yield from (ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
 
-        for text, doc in zip(texts, docs):
-            seed = np.uint64(int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}".encode(), digest_size=8).digest(), "big"))
+        for text, doc, copy in zip(texts, docs, copies or [1] * len(docs)):
+            seed = np.uint64(int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc}:{copy}".encode(), digest_size=8).digest(), "big"))
             if text and len(text) > 2 * AT_ONCE:
                 yield from flush()
                 held, counts, seeds, size = [], [], [], 0
                 long, n = [], 0
                 for part in self._parts(text):
-                    long.append(self._ids(part, self._streams(seed, n, len(part)))[0])
+                    long.append(self._ids(part, self._keys(seed, n, len(part)))[0])
                     n += len(part)
                 yield np.concatenate(long)
                 continue
             words = _WORDS.findall(" " + text) if text else []
             held += words
             counts.append(len(words))
-            seeds.append(self._streams(seed, 0, len(words)))
+            seeds.append(self._keys(seed, 0, len(words)))
             size += len(text or "")
             if size > AT_ONCE:
                 yield from flush()
                 held, counts, seeds, size = [], [], [], 0
         yield from flush()
 
-    def _streams(self, seed: np.uint64, first: int, n: int) -> np.ndarray:
-        """The streams of n words from word `first` of a text."""
-        return (_text.mix(seed + np.arange(first, first + n, dtype=np.uint64) * np.uint64(_HASHING[0])) % np.uint64(self.streams)).astype(np.int64)
+    def _keys(self, seed: np.uint64, first: int, n: int) -> np.ndarray:
+        """The keys of n words from word `first` of a text."""
+        return _text.mix(seed + np.arange(first, first + n, dtype=np.uint64) * np.uint64(_HASHING[0]))
 
-    def encode(self, text: str | None, doc: object = None) -> list[int]:
-        return next(self.encode_all([text], [doc])).tolist()
+    def encode(self, text: str | None, doc: object = None, copy: int = 1) -> list[int]:
+        return next(self.encode_all([text], [doc], [copy])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocab.bytes.__getitem__, ids)).decode()[1:]
 
 
-def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """docs with a column ids (in place of one of that name). Null and empty texts have no ids; rows that repeat an id and a text have equal ids.
+def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, copy_col: str | None = None) -> DataFrame:
+    """docs with a column ids (in place of one of that name). Null and empty texts have no ids; rows that repeat an id and a text have equal ids, but
+    for those that copy_col tells apart.
 
     A null id is a key like others. model: a SentencePiece model file of merge type that every executor has.
     """
     ship(docs.sparkSession)
     docs = docs.drop("ids")
     key, at = docs.columns.index(id_col), docs.columns.index(text_col)
+    nth = None if copy_col is None else docs.columns.index(copy_col)
 
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, dropout, seed)
         for b in batches:
             values, ends, done = [], [0], 0
-            for i, found in enumerate(encoder.encode_all(b.column(at).to_pylist(), b.column(key).to_pylist())):
+            copies = None if nth is None else b.column(nth).to_pylist()
+            for i, found in enumerate(encoder.encode_all(b.column(at).to_pylist(), b.column(key).to_pylist(), copies)):
                 values.append(found)
                 ends.append(ends[-1] + len(values[-1]))
                 if ends[-1] > 4 << 20 or i == b.num_rows - 1:

@@ -70,6 +70,31 @@ def test_shared_agenda_is_each_word_s_own(spark, small):
             assert [g.tolist() for g in got] == [pieces.segment(w, encoder.vocab, int(encoder.keys[stream]), encoder.limit) for w in words]
 
 
+@needs_vocabulary
+def test_every_occurrence_has_draws_of_its_own():
+    encoder = pieces.Encoder()
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 2000, dtype=np.uint64)
+    for word in (" a", " understanding", "漢é-word"):
+        ids, sizes = encoder._ids([word] * len(keys), keys)
+        got = [tuple(x) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got[:500] == [tuple(pieces.segment(word, encoder.vocab, int(k), encoder.limit)) for k in keys[:500]]
+    keys = encoder._keys(np.uint64(1), 0, 3000)
+    met = np.array([pieces._walk(" understanding", encoder.vocab, lambda number, k=int(k): pieces._draw(k, number) < encoder.limit)[1] for k in keys])
+    skipped = sum(sum(pieces._draw(int(k), i) < encoder.limit for i in range(m)) for k, m in zip(keys, met))
+    assert abs(skipped / met.sum() - pieces.DROPOUT) < 0.01
+    text = "understanding " * 2000
+    assert len({tuple(encoder.encode("understanding", doc)) for doc in range(2000)}) > 4
+    assert encoder.encode(text, 1) == encoder.encode(text, 1) != encoder.encode(text, 1, 2)
+
+
+@needs_vocabulary
+def test_copies_of_a_document_differ(spark):
+    text = "the segmentation of every repeated document differs from that of its other copies " * 5
+    docs = spark.createDataFrame([(1, text, c) for c in (1, 2, 3)], "doc_id long, text string, copy int")
+    assert len({tuple(r.ids) for r in pieces.with_ids(docs, copy_col="copy").collect()}) == 3
+    assert len({tuple(r.ids) for r in pieces.with_ids(docs).collect()}) == 1
+
+
 @needs_vocabulary
 def test_long_texts_are_encoded_in_parts(monkeypatch):
     text = "ab  cd\n efg " * 500 + "z" * 3000 + " end"
