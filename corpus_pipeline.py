@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Every stage but the last returns the columns of documents. No stage can be put into SQL as a whole (a trained classifier, hashes, a tokenizer), so
+Every stage but the last returns the columns of documents; mixing adds copy and position. No stage can be put into SQL as a whole (a trained classifier, hashes, a tokenizer), so
 ORACLE_SQL is None and the tests compare run() with a brute-force version.
 """
 
@@ -28,13 +28,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: rows of sources that are to grow repeat, others go."""
-    return mixing.mixed(docs)
+    """Sources at their target weights, in the order of training: rows of sources that are to grow repeat, others go."""
+    return mixing.mixed(docs, "copy", "position")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_pieces and ids of what is left."""
-    return pieces.with_ids(docs).selectExpr("doc_id", "source", "lang", "size(ids) AS n_pieces", "ids")
+    """doc_id, source, lang, copy, position, n_pieces and ids of what is left; copies of a document are segmented apart."""
+    return pieces.with_ids(docs, copy_col="copy").selectExpr("doc_id", "source", "lang", "copy", "position", "size(ids) AS n_pieces", "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", exact_dedup), ("minhash near-dedup", near_dedup), ("mixing", mix), ("sentencepiece", encode)]

@@ -4,7 +4,7 @@ A source's weight is a piecewise-linear schedule over training time 0 to 1; its
 no source gives more than `most` times its words, and what it cannot give is shared by weight among the others. Within a source, documents stand
 in the order of a digest of their ids; a document's place among the words that are demanded of its source is turned into a training position by
 inverting the integral of the schedule. Running sums are taken in 4,096 slices of a source first, so that a source with a third of all rows is
-spread over all tasks.
+spread over all tasks. A source that is taken several times is passed over in the same order again, and every pass has positions of its own.
 """
 
 from __future__ import annotations
@@ -68,14 +68,9 @@ def position(share: Column, pieces: Column, total: Column) -> Column:
     return F.when(p.isNull(), F.lit(1.0)).otherwise(p["t"] + F.when(root > 0, c * -2 / root).otherwise(F.lit(0.0)))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most: int = 3) -> DataFrame:
-    r"""For every row, ordered by position: doc_id, source, size, source_size, target, taken, position.
-
-    size: number of [^\x20\x09-\x0D]+ in the text (null: 0). taken: words the mix takes, repeats counted; a source's add up to its target, rounded.
-    position: training time of the middle of what is taken in the first pass over the source; null if nothing is taken. A null source is a source,
-    the last. Rows without words take nothing; sources without words have target 0. Null ids and repeated rows are rows like others.
-    """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, schedules, most: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """For every row: doc_id, source, size, source_size, target, taken, and at (words of the source before it), goal, passes, part, kind; columns in also."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *also)
     sized = materialize(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("slice", F.substring("key", 1, 3)), "sized")
     sliced = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -83,7 +78,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     goals = materialize(targets(sliced.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, most), "targets")
     offsets = materialize(sliced.join(bounded(goals.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words"), "offsets")
 
-    inner = F.coalesce(F.sum("size").over(W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("size").over(W.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *also).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = sized.withColumn("inner", inner)
     o = offsets.withColumnsRenamed({"source": "s", "slice": "c"})
     placed = placed.join(o, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("c")))
@@ -91,7 +86,18 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     placed = placed.withColumns({"at": at, "goal": goal}).withColumn("passes", passes)
     part = F.greatest(F.lit(0), F.least("size", F.col("goal") - F.col("passes") * F.col("source_size") - F.col("at")))
-    placed = placed.withColumn("taken", F.col("passes") * F.col("size") + part)
+    return placed.withColumn("part", part).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most: int = 3) -> DataFrame:
+    r"""For every row, ordered by position: doc_id, source, size, source_size, target, taken, position.
+
+    size: number of [^\x20\x09-\x0D]+ in the text (null: 0). taken: words the mix takes, repeats counted; a source's add up to its target, rounded.
+    position: training time of the middle of what is taken in the first pass over the source; null if nothing is taken. passes() has those of all
+    passes. A null source is a source, the last. Rows without words take nothing; sources without words have target 0. Null ids and repeated rows are
+    rows like others.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, schedules, most)
     first = F.when(F.col("passes") > 0, F.col("size")).otherwise(F.col("taken"))
     pieces, total = _pieces(schedules)
     when = F.when(F.col("taken") > 0, position((F.col("at") + first / 2) / F.col("goal"), pieces, total))
@@ -99,12 +105,30 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source and others) as the mix takes them: rows once for each whole time they are taken (half and more of a rest count)."""
-    plan = mixture(docs).where("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times"))
-    times = materialize(plan.groupBy("doc_id").agg(F.max("__times").alias("__times")).where("__times > 0"), "times").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(bounded(times), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """For every row and every pass that takes words of it: doc_id, source, copy (1 for the first pass), size, words (taken in that pass), position.
+
+    position: training time of the middle of what that pass takes, not rounded. also: further columns of docs, whose values break ties of equal rows.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, schedules, most, also).where("taken > 0")
+    last = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    each = each.withColumn("words", F.when(F.col("copy") <= F.col("passes"), F.col("size")).otherwise(F.col("part")))
+    pieces, total = _pieces(schedules)
+    middle = (F.col("at") + (F.col("copy") - 1) * F.col("source_size") + F.col("words") / 2) / F.col("goal")
+    return each.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "size", "words", position(middle, pieces, total).alias("position"), *also)
+
+
+def mixed(docs: DataFrame, copy_col: str | None = None, position_col: str | None = None) -> DataFrame:
+    """docs (doc_id, text, source and others) as the mix takes them, in the order of training: rows once for each pass that takes half of them or more.
+
+    copy_col, position_col: names of columns to add, with the number of the pass and the training position. A column of that name is replaced.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    plan = passes(rows, also=("__row",)).where("words * 2 >= size").select("__row", F.col("copy").alias("__copy"), F.col("position").alias("__position"))
+    joined = rows.join(bounded(materialize(plan, "passes")), "__row").orderBy("__position", "__row", "__copy")
+    added = {name: F.col(c) for name, c in ((copy_col, "__copy"), (position_col, "__position")) if name}
+    return joined.withColumns(added).select(*(c for c in docs.columns if c not in added), *added)
 
 
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:

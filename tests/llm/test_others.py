@@ -5,6 +5,7 @@ import random
 import re
 import tarfile
 import zlib
+from collections import Counter
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -211,6 +212,34 @@ def test_mixture(spark, edge, empty):
     assert mixing.mixed(edge).columns == edge.columns
 
 
+def test_every_pass_has_positions(spark):
+    r = random.Random(3)
+    rows = [(i if i % 50 else None, " ".join("w" for _ in range(r.randint(1, 40))), r.choice(["a", "b", "c", "d", "e"] + ["f"] * 30)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {(g.doc_id, g.source, g.size, g.position): g for g in mixing.mixture(docs).collect() if g.taken}
+    got = mixing.passes(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    words = Counter((g.doc_id, g.source) for g in got)
+    assert max(words.values()) >= 3 and sum(g.words for g in got) == sum(p.taken for p in plain.values())
+    for k, s in enumerate("abcdef"):  # the copies of a source fill its demand without gaps, in the order of their positions
+        own, at = sorted((g for g in got if g.source == s), key=lambda g: g.position), 0
+        goal = sum(g.words for g in own)
+        grid = np.linspace(0, 1, 20_001)
+        rate = np.interp(grid, *zip(*mixing.SCHEDULES[k % 3]))
+        spent = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        for g in own:
+            assert abs(g.position - np.interp((at + g.words / 2) / goal, spent / spent[-1], grid)) < 1e-4
+            assert g.copy == 1 + at // sizes[s]
+            at += g.words
+    out = mixing.mixed(docs, "copy", "position").collect()
+    assert [g.position for g in out] == sorted(g.position for g in out) and max(g.copy for g in out) == 3
+    want = Counter((g.doc_id, g.source, g.size, g.copy, g.position) for g in got if 2 * g.words >= g.size)
+    assert Counter((g.doc_id, g.source, len(g.text.split()), g.copy, g.position) for g in out) == want
+    assert [g.text for g in mixing.mixed(docs).collect()] == [g.text for g in out]
+
+
 def test_positions_invert_schedules(spark):
     for k, knots in enumerate(mixing.SCHEDULES):
         total = sum((w0 + w1) / 2 * (t1 - t0) for (t0, w0), (t1, w1) in zip(knots, knots[1:]))
