@@ -139,7 +139,12 @@ def test_shell_commands(line, want):
 
 
 def test_shell_parts():
-    assert shell.pattern_and_paths(("-A", "3", "-e", "x|y", "src", "-n")) == ("x|y", ["src"])
+    grep = shell.PROGRAMS["grep"]
+    assert shell.parsed(("-A", "3", "-e", "x|y", "src", "-n"), grep) == {"pattern": ["x|y"], "word": ["src"]}
+    assert shell.parsed(("-rnA3", "--include=*.rs", "x", "--", "-i"), grep) == {"deep": [""], "files": ["*.rs"], "word": ["x", "-i"]}
+    assert shell.parsed(("x",), shell.PROGRAMS["rg"]) == {"deep": [""], "word": ["x"]}
+    assert shell.requests("rg Level --glob '*.md'; ls | grep x; grep -e Level src", ("rs",)) == [{"pattern": "Level", "low": None, "high": None, "pos": 3, "how": "grep", "kind": "search", "paths": ["src"]}]
+    assert [r["kind"] for r in shell.requests("sed -n 3p a.rs; sed 3p a.rs; sed -i.bak -n 3p a.rs; cat", ("rs",))] == ["range", "whole"]
     assert shell.line_range("40,80p") == (40, 80) and shell.line_range("12p") == (12, 12) and shell.line_range("s/a/b/p") is None
     assert shell.lexical("a/./b/../c") == "a/c" and shell.lexical("../x") is None
     assert shell.alternatives(r"fn Level\b|cart::roll", frozenset(["fn"])) == ["Level", "cart::roll"] and shell.alternatives("a b") is None
