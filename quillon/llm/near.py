@@ -34,7 +34,7 @@ BLOCK = 500_000
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _INDEX_BITS)
 #: Row j: the order in which register j asks the others when it is empty.
 _PROBES = np.stack([np.random.default_rng(1000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
-SIGNATURE = "doc_id long, n_shingles long, digest binary, sig binary"
+SIGNATURE = "row long, doc_id long, n_shingles long, digest binary, sig binary"
 
 
 def registers(h: np.ndarray) -> np.ndarray:
@@ -63,20 +63,25 @@ def sets(ids: pa.Array, texts: pa.Array, k: int) -> Iterator[tuple[object, np.nd
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """docs: row, doc_id, text."""
+
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, digest, sig = [], [], [], []
-            for i, h in sets(batch.column(0), batch.column(1), k):
-                ids.append(i)
+            n, digest, sig = [], [], []
+            for _, h in sets(batch.column(0), batch.column(2), k):
                 n.append(len(h))
-                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                digest.append(_digest(h) if len(h) else None)
                 sig.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["row", "doc_id", "n_shingles", "digest", "sig"])
 
     return docs.mapInArrow(run, SIGNATURE)
 
 
+def _digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard by the share of equal registers, less the collisions expected of unlike sets of these sizes (Yu and Weber's approximation)."""
     most, least = np.maximum(na, nb).astype(float), np.minimum(na, nb).astype(float)
@@ -117,22 +122,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, full: DataFrame, num: int, d
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The sorted shingle hashes of the wanted ids."""
+    """The sorted shingle hashes of the wanted classes. docs: doc_id, text; wanted: rep, id, digest. Of rows that repeat an id, those with that digest."""
 
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values, ends = [], [], [0]
-            for i, h in sets(batch.column(0), batch.column(1), k):
-                ids.append(i)
+            reps, values, ends = [], [], [0]
+            digests = batch.column("digest").to_pylist()
+            for i, (rep, h) in enumerate(sets(batch.column("rep"), batch.column("text"), k)):
+                if _digest(h) != digests[i]:
+                    continue
+                reps.append(rep)
                 values.append(h.view(np.int64))
                 ends.append(ends[-1] + len(h))
                 if ends[-1] > 1 << 20:
-                    yield _lists(ids, values, ends)
-                    ids, values, ends = [], [], [0]
-            yield _lists(ids, values, ends)
+                    yield _lists(reps, values, ends)
+                    reps, values, ends = [], [], [0]
+            yield _lists(reps, values, ends)
 
-    return docs.join(bounded(wanted), docs.doc_id == wanted.rep, "left_semi").mapInArrow(run, "rep long, hashes array<long>")
+    chosen = docs.join(bounded(wanted), docs.doc_id == wanted.id).select("rep", "text", "digest")
+    return chosen.mapInArrow(run, "rep long, hashes array<long>")
 
 
 def _lists(ids: list, values: list, ends: list) -> pa.RecordBatch:
@@ -228,18 +237,16 @@ def _between(left: DataFrame, full: DataFrame, num: int, den: int, block: int =
     return rows.repartition(*order).sortWithinPartitions(*order).select(*order, "id", "comp", "rare", "hashes").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    r"""For every row: doc_id, n_shingles, component_id, kept. Documents are linked if den * |A & B| >= num * |A | B| for their sets of shingles.
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """docs: row (distinct), doc_id, text -> row, doc_id, n_shingles, component_id, leader (the row that stays for its group: of the smallest id).
 
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. A text of fewer words than `shingle` has one shingle; null, empty and blank texts have
-    none and are linked with nothing. A row with a null id is linked with nothing either (component_id null, kept true). Rows that repeat an id
-    are one document if their sets are equal. Other columns are ignored. A pair at the threshold shares no band with probability 5e-8.
+    A class is a set of shingles, whatever ids its rows have; it is named by one of its rows, so an id that has several texts is in several classes.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, shingle), "signed")
     usable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("s")).select("digest", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), F.col("s.sig").alias("sig")), "classes")
+    first = F.min(F.struct("doc_id", "row", "n_shingles", "sig")).alias("s")
+    classes = usable.groupBy("digest").agg(first).select("digest", F.col("s.row").alias("rep"), F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), F.col("s.sig").alias("sig"))
+    classes = materialize(classes, "classes")
 
     width = 2 * ROWS
     keys = F.array(*(F.concat(F.lit(bytes([b])), F.substring("sig", width * b + 1, width)) for b in range(BANDS)))
@@ -247,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written first: a join of two plain shuffles can be split where a bucket holds very many rows, one on top of an aggregate cannot
     shared = materialize(banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last"), "hubs")
     members = materialize(banded.join(shared, "bucket"), "members")
-    wanted = members.select(F.col("id").alias("rep")).distinct()
-    full = materialize(_full_sets(docs, materialize(wanted, "wanted"), shingle).dropDuplicates(["rep"]), "sets")
+    wanted = materialize(classes.select("rep", "id", "digest").join(members.select(F.col("id").alias("rep")).distinct(), "rep"), "wanted")
+    full = materialize(_full_sets(docs.select("doc_id", "text"), wanted, shingle).dropDuplicates(["rep"]), "sets")
 
     links = materialize(_verified(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), classes, full, num, den), "links")
     found = components(links)
@@ -259,16 +266,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fresh = materialize(_between(materialize(left, "left"), full, num, den), "links")
     if not fresh.isEmpty():
         found = components(links.union(fresh))
-    named = materialize(classes.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component")), "named")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # the row that stays for a group of classes is the one with the smallest id of all
+    placed = materialize(classes.select("digest", "rep", "id").join(found.withColumnRenamed("id", "rep"), "rep", "left"), "placed")
+    best = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "rep")).alias("best"))
+    named = placed.join(best, "comp", "left").select("digest", F.coalesce("best.id", "id").alias("component"), F.coalesce("best.rep", "rep").alias("leader"))
+    out = signed.select("row", "doc_id", "n_shingles", "digest").join(materialize(named, "named"), "digest", "left")
+    has_id = F.col("doc_id").isNotNull()
+    return out.select("row", "doc_id", "n_shingles", F.when(has_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("leader", "row")).otherwise(F.col("row")).alias("leader"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    r"""For every row: doc_id, n_shingles, component_id, kept. Documents are linked if den * |A & B| >= num * |A | B| for their sets of shingles.
+
+    Words are [^\x20\x09-\x0D]+ with A-Z lower-cased. A text of fewer words than `shingle` has one shingle; null, empty and blank texts have
+    none and are linked with nothing. A row with a null id is linked with nothing either (component_id null, kept true). Rows that repeat an id are
+    rows like others: each is linked by its own text. Other columns are ignored. A pair at the threshold shares no band with probability 5e-8.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _grouped(rows, shingle, num, den).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with one document of each group; columns as they were."""
-    gone = materialize(near_duplicates(docs, id_col, text_col, shingle).where("NOT kept").select(F.col("doc_id").alias("__gone")), "gone").distinct()
-    return docs.join(bounded(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs with one row of each group, the one with the smallest id; columns as they were. Rows that repeat an id and a text are a group as well.
+
+    Rows with a null id, and without words, all stay.
+    """
+    ship(docs.sparkSession)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    gone = materialize(_grouped(keyed, shingle, 80, 100).where("row <> leader").select(F.col("row").alias("__row")), "gone")
+    return rows.join(bounded(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
