@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,30 +20,37 @@ from quillon.runtime import bounded, materialize, ship
 
 #: [\x20\x09-\x0D]
 BLANK = " \t\n\x0b\x0c\r"
-RUN = "segment int, parent long, run long, digest binary, n_bytes long, proof long, n_chars long, keep_id long, group_size long"
-_ARROW = pa.schema([("segment", pa.int32()), ("parent", pa.int64()), ("run", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("proof", pa.int64()), ("n_chars", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+RUN = "segment int, parent long, run long, digest binary, n_bytes long, proof long, n_chars long, keep_id long, keep_row long, group_size long"
+_ARROW = pa.schema([("segment", pa.int32()), ("parent", pa.int64()), ("run", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("proof", pa.int64()), ("n_chars", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 _KEY = slice(3, 6)
+#: Rows of a segment in all runs together: what a merge holds is bounded by it.
+SEGMENT_ROWS = 100_000
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, number of code points, and digest, byte length and second hash of the text without white space."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
-    return rows.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("proof"), "n_chars")
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """For each row: row, id, number of code points, and digest, byte length and second hash of the text without white space. row names the row."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
+    return rows.select("row", "doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("proof"), "n_chars")
 
 
 def _best(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Of rows sorted by digest, one for each: most code points, then smallest id (null last). Equal digests of unlike texts stay apart."""
+    """Of rows sorted by digest, one for each: most code points, then smallest id (null last), then first row. Equal digests of unlike texts stay apart."""
     for _, same in groupby(rows, key=lambda r: r[_KEY]):
-        same = list(same)
-        _, _, n_chars, keep = min((-r[6], r[7] is None, r[6], r[7]) for r in same) if len(same) > 1 else (0, 0, *same[0][6:8])
-        yield (*same[0][:6], n_chars, keep, sum(r[8] for r in same))
+        best = next(same)
+        size = best[9]
+        for r in same:
+            size += r[9]
+            if (-r[6], r[7] is None, r[7] or 0, r[8]) < (-best[6], best[7] is None, best[7] or 0, best[8]):
+                best = r
+        yield (*best[:9], size)
 
 
-def _tuples(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+def _tuples(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns))
 
 
@@ -51,60 +58,63 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_ARROW), _ARROW.types)], schema=_ARROW)
 
 
+def _batches(rows: Iterator[tuple], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, most)):
+        yield _batch(part)
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first level: the sorted rows of one partition become a run."""
-    out = []
-    for r in _best(r for b in batches for r in _tuples(b)):
-        out.append(r)
-        if len(out) == 20_000:
-            yield _batch(out)
-            out = []
-    yield _batch(out)
+    yield from _batches(_best(r for b in batches for r in _tuples(b)))
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    """Multiway merge of the child runs of one parent, each of which is sorted by digest."""
-    rows = sorted(_tuples(group), key=lambda r: (r[2], r[_KEY]))
-    children = [list(rs) for _, rs in groupby(rows, key=lambda r: r[2])]
-    return pa.Table.from_batches([_batch(list(_best(heapq.merge(*children, key=lambda r: r[_KEY]))))])
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come by segment, parent, run and digest: the child runs of a parent, one after the other, are merged as the sorted runs that they are."""
+    for _, family in groupby((r for b in batches for r in _tuples(b)), key=lambda r: r[:2]):
+        children = [list(run) for _, run in groupby(family, key=lambda r: r[2])]
+        yield from _batches(_best(heapq.merge(*children, key=lambda r: r[_KEY])))
 
 
 def winners(found: DataFrame, fan: int = 8, segments: int | None = None) -> DataFrame:
-    """One row for each digest of digests(): keep_id, group_size.
+    """One row for each digest of digests(): keep_id, keep_row, group_size.
 
-    fan: runs that one merge takes. segments: ranges of digests, by default as many as shuffle partitions; a merge holds one segment of `fan` runs.
+    fan: runs that one merge takes. segments: ranges of digests, by default so many that each has SEGMENT_ROWS distinct rows at most, by the rows that
+    the runs were counted to have; a merge holds one segment of `fan` runs.
     """
-    spark = found.sparkSession
-    ship(spark)
-    segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = F.floor(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") * segments / F.lit(2**32)).cast("int")
+    ship(found.sparkSession)
     part = F.spark_partition_id().cast("long")
-    rows = found.select(cut.alias("segment"), part.alias("parent"), part.alias("run"), "digest", "n_bytes", "proof", "n_chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    rows = found.select(F.lit(0).alias("segment"), part.alias("parent"), part.alias("run"), "digest", "n_bytes", "proof", "n_chars", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     runs = materialize(rows.sortWithinPartitions("digest", "n_bytes", "proof").mapInArrow(_combine, RUN), "runs")
-    left = (runs.agg(F.max("run")).first()[0] or 0) + 1
+    counted = runs.agg(F.count("*").alias("n"), F.max("run").alias("last")).first()
+    segments, left = segments or -(-counted.n // SEGMENT_ROWS) or 1, (counted.last or 0) + 1
+    cut = F.floor(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") * segments / F.lit(2**32)).cast("int")
+    runs = runs.withColumn("segment", cut)
     while left > 1:
-        parent = F.floor(F.col("run") / fan).cast("long")
-        merged = runs.withColumn("parent", parent).groupBy("segment", "parent").applyInArrow(_merge, RUN)
+        dealt = runs.withColumn("parent", F.floor(F.col("run") / fan).cast("long")).repartition("segment", "parent")
+        merged = dealt.sortWithinPartitions("segment", "parent", "run", "digest", "n_bytes", "proof").mapInArrow(_merge, RUN)
         runs, left = merged.withColumn("run", F.col("parent")), -(-left // fan)
-    return runs.select("digest", "n_bytes", "proof", "keep_id", "group_size")
+    return runs.select("digest", "n_bytes", "proof", "keep_id", "keep_row", "group_size")
+
+
+def _judged(found: DataFrame, fan: int = 8, segments: int | None = None) -> DataFrame:
+    return found.drop("n_chars").join(winners(found, fan, segments), ["digest", "n_bytes", "proof"])
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = 8, segments: int | None = None) -> DataFrame:
     r"""For every row: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when identical without [\x20\x09-\x0D].
 
-    Null text counts as empty; empty texts are copies of each other. A null id can only stay if no copy has an id (kept is then true).
-    Rows that repeat an id and a text are counted, and all of them are marked as kept if that id stays. Other columns of docs are ignored.
+    Null text counts as empty; empty texts are copies of each other. One row of each group is kept: a null id only if no copy has an id, and of rows
+    that repeat an id and a text the first. Other columns of docs are ignored.
     """
-    found = materialize(digests(docs, id_col, text_col), "digests")
-    key = ["digest", "n_bytes", "proof"]
-    out = found.drop("n_chars").join(winners(found, fan, segments), key)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = _judged(materialize(digests(docs, id_col, text_col), "digests"), fan, segments)
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are copies of a row that stays; columns as they were."""
-    keep = materialize(exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")), "kept").distinct()
-    return docs.join(bounded(keep), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """docs with one row of each group of equal texts; columns as they were. Ids may be null or repeated: rows are told apart by a number of their own."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    keep = materialize(_judged(materialize(digests(rows, id_col, text_col, "__row"), "digests")).where("row = keep_row").select(F.col("row").alias("__row")), "keep")
+    return rows.join(bounded(keep), "__row", "left_semi").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
