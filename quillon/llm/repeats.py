@@ -6,16 +6,18 @@ updated from range minima over the last round's. A window is repeated if it shar
 
 So that no collection is unbounded, windows are first dealt out by content: the anchor of a window is the leftmost of its 16-byte grams with the
 smallest hash, and equal windows have equal anchors at the same place. Neighbouring windows with one anchor are kept as one context (at most
-2 * length - 16 bytes). Contexts whose anchor stands nowhere else are done. Equal contexts are one, and all their windows are repeated. Only
-unlike contexts of one anchor are compared by the construction, aligned at the anchor, so rounds are bounded by the length of a context, not by
-the longest document. Columns go through sequential files in the shared folder when a collection is larger than `memory`. An anchor with more
-than `most` unlike contexts is not gathered in one task: its windows are counted by digest instead, with partial sums before the shuffle.
+2 * length - 16 bytes). Contexts whose anchor stands nowhere else are done. Equal contexts are one, and all their windows are repeated. Unlike
+contexts of one anchor are split in two by where the anchor stands in a window: all windows of a half have the bytes around the anchor in common,
+which deals them out further. What still shares those bytes is compared by the construction, aligned at the anchor, so rounds are bounded by the
+length of a context, not by the longest document. Columns go through sequential files in the shared folder when a collection is larger than
+`memory`. Collections of more than `most` strings are halved again in the same way, down to single windows, which are equal if their bytes are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,8 @@ from quillon.runtime import bounded, materialize, shared_dir, ship
 
 LENGTH = 400
 GRAM = 16
-OCCURRENCE = "anchor long, digest binary, doc_id long, start long, size int, lead int"
+OCCURRENCE = "anchor long, digest binary, doc long, tag long, start long, size int, lead int, behind int, ahead int"
+PART = "key binary, anchor long, digest binary, low int, high int, base int, lead int, part binary"
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -83,12 +86,29 @@ def _pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int
             yield a, 0, data[at[a] : at[b]], at[a : b + 1] - at[a]
 
 
+def _windows(low: int, high: int, lead: int, size: int) -> tuple[int, int]:
+    """First and last window of a context whose anchor stands at low to high - 1 in the window. lead: where it stands in the context."""
+    return max(0, lead - high + 1), min(size - 1, lead - low)
+
+
+def _core(low: int, high: int, lead: int, length: int) -> tuple[int, int]:
+    """The bytes of a context that all those windows have."""
+    return lead - low, lead + length - high + 1
+
+
+def _halves(low: int, high: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    middle = (low + high) // 2
+    return (low, middle), (middle, high)
+
+
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
+    """docs: doc, tag, text -> every context; behind and ahead: hash of what the windows of either half have in common, null without such windows."""
+    (low, mid), (_, high) = _halves(0, length - GRAM + 1)
+
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            data, at = _text.buffers(batch.column(1))
+            data, at = _text.buffers(batch.column(2))
             for first, offset, part, bounds in _pieces(data, at, length):
                 anchor, pos, lo, hi = contexts(part, bounds, length)
                 if not len(anchor):
@@ -96,8 +116,17 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 doc = np.searchsorted(bounds, pos, "right") - 1
                 raw = part.tobytes()
                 digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(lo.tolist(), (hi + length).tolist())]
-                size = (hi - lo + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest, pa.binary()), ids.take(pa.array(first + doc)), pa.array(lo - bounds[doc] + offset), pa.array(size), pa.array((pos - lo).astype(np.int32))], ["anchor", "digest", "doc_id", "start", "size", "lead"])
+                lead, size = pos - lo, hi - lo + 1
+                marks = []
+                for a, b in ((mid, high), (low, mid)):
+                    held = np.maximum(0, lead - b + 1) <= np.minimum(size - 1, lead - a)
+                    crc = np.fromiter((zlib.crc32(raw[x - a : x + length - b + 1]) if h else 0 for x, h in zip(pos.tolist(), held.tolist())), np.uint32, len(pos))
+                    marks.append(pa.array(crc.view(np.int32), mask=~held))
+                rows = pa.array(first + doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(digest, pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lo - bounds[doc] + offset), pa.array(size.astype(np.int32)), pa.array(lead.astype(np.int32)), *marks],
+                    ["anchor", "digest", "doc", "tag", "start", "size", "lead", "behind", "ahead"],
+                )
 
     return docs.mapInArrow(run, OCCURRENCE)
 
@@ -220,78 +249,157 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _judged(length: int, folder: str, memory: int):
-    """(anchor, digest, text, lead, n) sorted by anchor -> (anchor, digest, spans) of the windows that are repeated."""
+    """Parts sorted by key -> (anchor, digest, lo, hi): runs of repeated windows, by their place in the context."""
 
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        columns, anchor, groups, group = Columns(folder, memory), None, [], -1
+        columns, groups, group, key, waiting = Columns(folder, memory), [], -1, None, None
 
         def judge() -> pa.RecordBatch:
             flags = repeated_windows(columns, np.array(groups), length) if held else []
-            found = [[{"lo": a, "hi": b} for a, b in spans(f)] for f in flags]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in held], pa.int64()), pa.array([d for _, d in held], pa.binary()), pa.array(found, _SPANS)], ["anchor", "digest", "spans"])
+            found = [(a, d, base + x, base + y) for (a, d, base), f in zip(held, flags) for x, y in spans(f)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["anchor", "digest", "lo", "hi"])
+
+        def add(row: tuple) -> None:
+            _, a, digest, base, lead, part = row
+            held.append((a, digest, base))
+            groups.append(group)
+            columns.add(part, lead)
 
         for batch in batches:
-            for a, digest, text, lead in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != anchor:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "anchor", "digest", "base", "lead", "part"))):
+                if row[0] != key:  # one that is alone with its key is not repeated
+                    key, waiting = row[0], row
+                    continue
+                if waiting is not None:
                     if columns.held > memory // 2 or columns.files:  # whole groups only
                         yield judge()
                         held, columns, groups, group = [], Columns(folder, memory), [], -1
-                    anchor, group = a, group + 1
-                held.append((a, digest))
-                groups.append(group)
-                columns.add(text, lead)
+                    group += 1
+                    add(waiting)
+                    waiting = None
+                add(row)
         if held:
             yield judge()
 
     return run
 
 
-_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-_SPANS_DDL = "array<struct<lo:int,hi:int>>"
+def _part(anchor: int, digest: bytes, low: int, high: int, context: bytes, base: int, lead: int, length: int) -> tuple | None:
+    """The windows of a context (or a part of one, from `base` on) whose anchor stands at low to high - 1, and the key that equal ones share."""
+    first, last = _windows(low, high, lead, len(context) - length + 1)
+    if first > last:
+        return None
+    x, y = _core(low, high, lead, length)
+    key = hashlib.blake2b(context[x:y], digest_size=16, key=f"{anchor}:{low}:{high}".encode()).digest()
+    return key, anchor, digest, low, high, base + first, lead - first, context[first : last + length]
+
+
+_PART_TYPES = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+_PART_NAMES = ["key", "anchor", "digest", "low", "high", "base", "lead", "part"]
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (anchor, digest, doc_id, start, size, lead, ...) with the bytes of its contexts. Only documents that are wanted leave their place."""
-    ids = materialize(wanted.select("doc_id").distinct(), "ids")
-    some = docs.join(bounded(ids), "doc_id", "left_semi")
-    cut = F.substring(F.encode("text", "utf-8"), F.col("start").cast("int") + 1, F.col("size") + length - 1)
-    return some.join(wanted, "doc_id").withColumn("part", cut).drop("text")
+def _part_batches(rows: Iterator[tuple | None]) -> Iterator[pa.RecordBatch]:
+    """Batches that end at a few MB."""
+    held, size = [], 0
+    for r in rows:
+        if r is None:
+            continue
+        held.append(r)
+        size += len(r[7])
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _PART_TYPES)], _PART_NAMES)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _PART_TYPES)], _PART_NAMES)
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """wanted (doc, tag, anchor, digest, start, size, lead, low, high) as parts. Each text is read once for all that is wanted of it, and only texts
+    of which something is wanted leave their place."""
+    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "digest", "start", "size", "lead", "low", "high")).alias("cuts"))
+    lists = materialize(lists, "cuts")
+    some = docs.join(bounded(lists.select("doc", "tag")), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+
+    @_text.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = _text.buffers(b.column(0))
+            cuts = b.column(1)
+
+            def parts(b=b, data=data, at=at, cuts=cuts) -> Iterator[tuple | None]:
+                for i in range(b.num_rows):
+                    for c in cuts[i].as_py():
+                        x = int(at[i]) + c["start"]
+                        context = data[x : x + c["size"] + length - 1].tobytes()
+                        yield _part(c["anchor"], c["digest"], c["low"], c["high"], context, 0, c["lead"], length)
+
+            yield from _part_batches(parts())
+
+    return some.join(lists, ["doc", "tag"]).select("text", "cuts").mapInArrow(run, PART)
+
+
+def _halved(parts: DataFrame, length: int) -> DataFrame:
+    """Every part as its two halves, with keys of their own."""
+
+    @_text.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "low", "high", "base", "lead", "part")))
+            yield from _part_batches(_part(a, d, x, y, part, base, lead, length) for a, d, low, high, base, lead, part in rows for x, y in _halves(low, high))
+
+    return parts.mapInArrow(run, PART)
+
+
+def _ranges(parts: DataFrame, length: int, memory: int, most: int) -> DataFrame:
+    """(anchor, digest, lo, hi): the windows of each context that another context of its anchor has too, at the same place."""
+    folder, found = f"{shared_dir(parts.sparkSession)}/quillon/columns", []
+    while True:
+        keys = parts.groupBy("key").agg(F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"))
+        crowded = materialize(keys.where((F.col("n") > most) & (F.col("high") - F.col("low") > 1)).select("key"), "crowded")
+        rest = parts.join(bounded(crowded), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+        several = rest.where("high - low > 1").mapInArrow(_judged(length, folder, memory), "anchor long, digest binary, lo int, hi int")
+        single = materialize(keys.where("n > 1 AND high - low = 1").select("key"), "single")
+        found.append(several)
+        if not single.isEmpty():
+            found.append(parts.where("high - low = 1").join(bounded(single), "key", "left_semi").select("anchor", "digest", F.col("base").alias("lo"), (F.col("base") + 1).alias("hi")))
+        if crowded.isEmpty():
+            break
+        parts = materialize(_halved(parts.join(bounded(crowded), "key", "left_semi"), length), "parts")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return materialize(out, "ranges")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, memory: int = 32 << 20, most: int = 50_000) -> DataFrame:
-    """(doc_id, lo, hi): byte ranges [lo, hi) that strings of `length` bytes cover that also start elsewhere; ranges may overlap.
+    """(doc, tag, lo, hi): byte ranges [lo, hi) that strings of `length` bytes cover that also start elsewhere; ranges may overlap.
 
-    docs: doc_id (not null, distinct) and text. memory: bytes of contexts that a task holds before it uses files.
-    most: unlike contexts of one anchor that one task compares; anchors with more are counted window by window, with the same result.
+    docs: doc, tag and text; rows that are equal in doc and tag have equal texts. memory: bytes of contexts that a task holds before it uses files.
+    most: strings that are compared at once; larger collections are halved, with the same result.
     """
     spark = docs.sparkSession
     ship(spark)
     seen = materialize(occurrences(docs, length), "occurrences")
-    anchors = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    anchors = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("first"), F.max("digest").alias("last")).where("n > 1").select("anchor", (F.col("first") != F.col("last")).alias("mixed"))
     anchors = materialize(anchors, "anchors")  # written first: a join of two plain shuffles can be split where an anchor stands in very many places
     again = materialize(seen.join(anchors, "anchor"), "again")
-    kinds = again.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "size", "lead")).alias("at")).select("anchor", "digest", "n", "at.*")
+    one = F.min(F.struct("doc", "tag", "start", "size", "lead", "behind", "ahead")).alias("at")
+    kinds = again.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), one).select("anchor", "digest", "n", "at.*")
     kinds = materialize(kinds, "kinds")
-    crowded = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("unlike")).where(F.col("unlike") > most).select("anchor"), "crowded")
-    parts = materialize(_texts(docs, kinds, length).select("anchor", "digest", "part", "lead", "n", "size"), "parts")
-
-    few = parts.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "digest", "part", "lead")
-    judged = few.mapInArrow(_judged(length, f"{shared_dir(spark)}/quillon/columns", memory), f"anchor long, digest binary, spans {_SPANS_DDL}")
-    ranges = judged.select("anchor", "digest", F.explode("spans").alias("s")).select("anchor", "digest", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
-    if not crowded.isEmpty():
-        window = F.sha2(F.substring("part", F.col("k") + 1, length), 256)
-        many = parts.join(crowded, "anchor", "left_semi").select("anchor", "digest", "part", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
-        many = materialize(many.select("anchor", "digest", "k", window.alias("window")), "windows")
-        twice = many.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        ranges = ranges.union(many.join(twice, ["anchor", "window"], "left_semi").select("anchor", "digest", F.col("k").cast("int").alias("lo"), (F.col("k") + 1).cast("int").alias("hi")))
-    ranges = materialize(ranges, "ranges")
+    (low, mid), (_, high) = _halves(0, length - GRAM + 1)
+    sides = F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.col(c).alias("mark")) for a, b, c in ((low, mid, "ahead"), (mid, high, "behind"))))
+    halves = kinds.withColumn("side", F.explode(sides)).select("anchor", "digest", "doc", "tag", "start", "size", "lead", "side.*").where("mark IS NOT NULL")
+    shared = materialize(halves.groupBy("anchor", "low", "mark").agg(F.count("*").alias("unlike")).where("unlike > 1").drop("unlike"), "shared")
+    wanted = materialize(halves.join(bounded(shared), ["anchor", "low", "mark"], "left_semi"), "wanted")
+    ranges = _ranges(materialize(_fetched(docs, wanted, length), "parts"), length, memory, most)
+
     copies = kinds.where("n > 1").select("anchor", "digest")
-    whole = again.where("NOT mixed").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    whole = whole.union(again.where("mixed").join(copies, ["anchor", "digest"], "left_semi").select("doc_id", "start", F.col("start") + F.col("size")))
-    partly = again.where("mixed").join(ranges, ["anchor", "digest"]).select("doc_id", F.col("start") + F.col("lo"), F.col("start") + F.col("hi"))
-    return whole.union(partly).select("doc_id", "lo", (F.col("hi") + length - 1).alias("hi"))
+    whole = again.where("NOT mixed").select("doc", "tag", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    whole = whole.union(again.where("mixed").join(copies, ["anchor", "digest"], "left_semi").select("doc", "tag", "start", F.col("start") + F.col("size")))
+    partly = again.where("mixed").join(ranges, ["anchor", "digest"]).select("doc", "tag", F.col("start") + F.col("lo"), F.col("start") + F.col("hi"))
+    return whole.union(partly).select("doc", "tag", "lo", (F.col("hi") + length - 1).alias("hi"))
 
 
 def _cut(texts: pa.Array, found: pa.Array) -> Iterator[tuple[int, int, int, bytes]]:
@@ -317,12 +425,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For every row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
     Texts are UTF-8 bytes, null counts as empty. Every byte is removed that a string of `length` bytes covers which starts anywhere else too, in
-    the same document or another; strings are judged on the input. Texts shorter than `length` stay whole. Ids must be distinct; a row with a
-    null id is neither searched nor changed. Other columns are ignored.
+    the same document or another; strings are judged on the input. Texts shorter than `length` stay whole. Rows are told apart by id and text, so ids
+    may be null or repeated: every row counts as a document, and rows with equal texts lose the same bytes. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = docs.where("doc_id IS NOT NULL")
-    found = repeated_spans(named, length, **limits).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    docs = docs.withColumn("tag", F.xxhash64("text")).withColumn("doc", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")))
+    found = repeated_spans(docs.select("doc", "tag", "text"), length, **limits).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
 
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +439,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n, removed, runs, kept = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.join(found, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = docs.join(found, ["doc", "tag"], "left").select("doc_id", "text", "found")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = without_repeats(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))

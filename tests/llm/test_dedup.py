@@ -63,6 +63,15 @@ def test_near_duplicates_edges(edge, empty):
     assert near.drop_near_duplicates(edge).columns == edge.columns
 
 
+def test_near_duplicates_of_unlike_texts_under_one_id(spark):
+    b = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, "quite another text of its own", "p"), (1, b, "q"), (2, f"{b} more", "r"), (3, "quite another text of its own", "s"), (3, b, "t"), (3, b, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (3, 1, False)]
+    assert sorted(r.row for r in near.drop_near_duplicates(docs).collect()) == ["p", "q"]
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
@@ -96,6 +105,22 @@ def test_exact_duplicates(spark, edge, empty):
     out = exact.exact_duplicates(edge).collect()
     assert len(out) == edge.count() and exact.exact_duplicates(empty).count() == 0
     assert exact.drop_exact_duplicates(edge).columns == edge.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in exact.drop_exact_duplicates(edge).collect()]
+    assert sorted(texts) == sorted({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in edge.collect()})
+
+
+def test_exact_copies_under_one_id(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "c"), (None, "d"), (None, "d"), (2, "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sum(r.kept for r in exact.exact_duplicates(docs).collect()) == 3
+    assert sorted(map(tuple, exact.drop_exact_duplicates(docs).collect()), key=str) == [(1, "a b"), (1, "c"), (None, "d")]
+
+
+def test_segments_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact, "SEGMENT_ROWS", 7)
+    rows = [(i, f"t{i % 40}") for i in range(200)]
+    got = exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(9), fan=2).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: (min(j for j, t in rows if t == f"t{i % 40}" and len(t) == len(f"t{i % 40}")), 5) for i, _ in rows}
 
 
 def brute_repeats(texts, length):
@@ -111,7 +136,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 1}, {"memory": 2_000}])
+@pytest.mark.parametrize("limits", [{}, {"most": 1}, {"most": 3}, {"memory": 2_000}])
 def test_repeats_match_brute_force(spark, limits):
     rng = np.random.default_rng(8)
     letters = list("abcdé ")
@@ -133,5 +158,15 @@ def test_repeats_of_a_long_text_in_pieces(monkeypatch):
 
 
 def test_repeats_edges(edge, empty):
-    assert repeats.without_repeats(edge.where("doc_id IS NULL OR doc_id <> 1")).count() == edge.count() - 2
+    assert repeats.without_repeats(edge).count() == edge.count()
     assert repeats.without_repeats(empty).count() == 0
+
+
+def test_repeats_under_one_id_and_without_id(spark):
+    rng = np.random.default_rng(2)
+    base = "".join(rng.choice(list("abcdef "), 1500))
+    rows = [(1, "x" + base[:700]), (1, "y" + base[300:]), (None, base[200:900]), (None, None), (2, "z" * 100), (3, base[:460]), (3, base[:460])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(docs).collect())
+    want = brute_repeats({i: (t or "").encode() for i, (_, t) in enumerate(rows)}, 400)
+    assert got == sorted((rows[i][0] or 0, *w) for i, w in want.items())
