@@ -1,9 +1,10 @@
 """Chat formatting: calls and their results are linked, ordered, validated and written as canonical JSON. DataFrame operations only.
 
-A call has an identifier and may follow one earlier call. Results are linked to calls by a hash join on conversation and identifier. The level of a
-call is its distance from the first call of its chain, found by doubling pointers, so long chains take few rounds; levels order calls before their
-results and both before what follows, without sorting a conversation in one task. Arguments are checked against a schema for each tool. Canonical
-JSON has its keys in order, no white space, and no null members.
+A call has an identifier and may follow earlier calls. Results are linked to calls by a hash join on conversation and identifier. The level of a call
+is the longest path of calls before it: runs of calls that follow one call each are jumped by doubling pointers, so long chains take few rounds, and
+only calls that wait for several are settled one after the other. Levels order calls before their results and both before what follows, without
+sorting a conversation in one task. Arguments are checked against a schema for each tool. Canonical JSON has its keys in order and no white space,
+in arguments too (their null members stay: they are what was said); members of a message that are null are left out.
 """
 
 from __future__ import annotations
@@ -42,25 +43,52 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict = SCHEMAS) ->
     return F.coalesce(verdict, F.lit(False))
 
 
+def canonical(arguments: Column) -> Column:
+    """JSON text with the keys of all its objects in order and no white space; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(arguments)), arguments)
+
+
 def levels(calls: DataFrame, key: list[str]) -> DataFrame:
-    """calls: key columns, call_id, after -> distinct key, call_id, depth: calls before it in its chain; null in and behind a cycle.
+    """calls: key columns, call_id, after (an identifier or an array of them) -> distinct key, call_id, depth: calls on the longest path before it.
 
-    A call that follows an unknown or null call is first in its chain. Of several rows with one identifier the smallest `after` holds.
+    Null in and behind a cycle. Unknown and null identifiers in `after` do not count. Several rows with one identifier are one call that follows what
+    any of them follows.
     """
-    nodes = calls.where("call_id IS NOT NULL").groupBy(*key, "call_id").agg(F.min("after").alias("after"))
-    up = nodes.select(*key, F.col("call_id").alias("after")).distinct().withColumn("there", F.lit(True))
-    nodes = nodes.join(up, [*key, "after"], "left").select(*key, "call_id", F.when(F.col("there"), F.col("after")).alias("top"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
+    after = F.col("after") if calls.schema["after"].dataType.typeName() == "array" else F.array("after")
+    # structs with null members are equal to each other, null keys are not
+    known = calls.where("call_id IS NOT NULL").select(F.struct(*key).alias("k"), "call_id", after.alias("after"))
+    names = known.select("k", "call_id").distinct()
+    edges = known.select("k", "call_id", F.explode("after").alias("p")).where("p IS NOT NULL").distinct()
+    edges = edges.join(names.withColumnRenamed("call_id", "p"), ["k", "p"])
+    edges = materialize(edges.select("k", "call_id", "p"), "edges")
+    before = edges.groupBy("k", "call_id").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    nodes = names.join(before, ["k", "call_id"], "left").withColumn("open", one)
+    nodes = materialize(nodes.select("k", "call_id", F.when(F.col("open"), F.col("p")).otherwise(F.col("call_id")).alias("base"), F.col("open").cast("long").alias("dist"), "open", F.coalesce("n", F.lit(0)).alias("n")), "chains")
     total, step = nodes.count(), 1
-    nodes = materialize(nodes, "chains")
-    while step < total and not nodes.where("top IS NOT NULL").isEmpty():
-        over = nodes.select(*key, F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        nodes = materialize(nodes.join(over, [*key, "top"], "left").select(*key, "call_id", F.col("next").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "chains")
+    while step < total and not nodes.where("open").isEmpty():  # base: the call that is reached over calls that follow one each
+        over = nodes.select("k", F.col("call_id").alias("base"), F.col("base").alias("next"), F.col("dist").alias("more"), F.col("open").alias("still"))
+        nodes = materialize(nodes.join(over, ["k", "base"]).select("k", "call_id", F.col("next").alias("base"), (F.col("dist") + F.col("more")).alias("dist"), F.col("still").alias("open"), "n"), "chains")
         step *= 2
-    return nodes.select(*key, "call_id", F.when(F.col("top").isNull(), F.col("depth")).alias("depth"))
+    settled = nodes.where("n = 0").select("k", F.col("call_id").alias("base"), F.lit(0).cast("long").alias("depth"))
+    waiting = nodes.where("n > 1")
+    if not waiting.isEmpty():
+        bases = nodes.select("k", F.col("call_id").alias("p"), "base", "dist", "open")
+        needs = materialize(edges.join(waiting.select("k", "call_id"), ["k", "call_id"], "left_semi").join(bases, ["k", "p"]).select("k", "call_id", "base", "dist", "open"), "needs")
+        while True:
+            judged = needs.join(settled, ["k", "base"], "left").groupBy("k", "call_id")
+            ready = judged.agg(F.max(F.col("depth") + F.col("dist") + 1).alias("depth"), F.count_if(F.col("open") | F.col("depth").isNull()).alias("missing")).where("missing = 0")
+            ready = materialize(ready.select("k", F.col("call_id").alias("base"), "depth"), "ready")
+            if ready.isEmpty():
+                break
+            settled = materialize(settled.unionByName(ready), "settled")
+            needs = materialize(needs.join(ready.select("k", F.col("base").alias("call_id")), ["k", "call_id"], "left_anti"), "needs")
+    return nodes.where("NOT open").join(settled, ["k", "base"]).select("k", "call_id", (F.col("depth") + F.col("dist")).alias("depth")).join(names, ["k", "call_id"], "right").select("k.*", "call_id", "depth")
 
 
 def linked(calls: DataFrame, results: DataFrame, key: list[str], schemas: dict = SCHEMAS) -> DataFrame:
-    """calls: key, call_id, after, name, arguments (JSON text). results: key, call_id, content. Other columns stay (their names must differ).
+    """calls: key, call_id, after, name, arguments (JSON text). results: key, call_id, content. Other columns stay and are null where the
+    other side has none of that name; columns that are named like those of the result are not taken over. after: an identifier or an array of them.
 
     A row for each call and each result: key, kind, call_id, linked, valid, level, json. A call is linked if it has a result, a result if it has a
     call; orphans stay (a result without a call has no level). Keys may be null and are then compared as equal.
@@ -75,16 +103,16 @@ def linked(calls: DataFrame, results: DataFrame, key: list[str], schemas: dict =
 
     answered = results.where("call_id IS NOT NULL").select(*key, "call_id").distinct().withColumn("answered", F.lit(True))
     said = joined(joined(calls, depth), answered)
-    call = F.to_json(F.struct(F.col("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.lit("call").alias("type")))
+    call = F.to_json(F.struct(canonical(F.col("arguments")).alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.lit("call").alias("type")))
     call_rows = said.select(*key, F.lit("call").alias("kind"), "call_id", F.coalesce("answered", F.lit(False)).alias("linked"), valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"), (F.col("depth") * 2 + 1).alias("level"), call.alias("json"), *_rest(calls, key))
     known = joined(results, depth.withColumn("known", F.lit(True)))
     result = F.to_json(F.struct(F.col("content").alias("content"), F.col("call_id").alias("id"), F.lit("result").alias("type")))
     result_rows = known.select(*key, F.lit("result").alias("kind"), "call_id", F.coalesce("known", F.lit(False)).alias("linked"), F.coalesce("known", F.lit(False)).alias("valid"), (F.col("depth") * 2 + 2).alias("level"), result.alias("json"), *_rest(results, key))
-    return call_rows.unionByName(result_rows)
+    return call_rows.unionByName(result_rows, allowMissingColumns=True)
 
 
 def _rest(rows: DataFrame, key: list[str]) -> list[str]:
-    return [c for c in rows.columns if c not in {*key, "call_id", "after", "name", "arguments", "content"}]
+    return [c for c in rows.columns if c not in {*key, "call_id", "after", "name", "arguments", "content", "kind", "linked", "valid", "level", "json"}]
 
 
 def formatted(messages: DataFrame) -> DataFrame:

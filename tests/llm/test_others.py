@@ -299,6 +299,29 @@ def test_chat_levels_and_links(spark):
     assert {(r.conv, r.call_id): r.depth for r in got} == {("k", "a"): 0, ("k", "b"): 1, ("k", "c"): 2, ("k", "x"): None, ("k", "y"): None, ("k", "z"): None, ("k", "o"): 0, (None, "a"): 0}
 
 
+def test_chat_longest_paths(spark):
+    r = random.Random(6)
+    after = {f"c{i}": sorted({f"c{r.randrange(i)}" for _ in range(r.choice([0, 1, 1, 1, 2, 3]))}) if i else [] for i in range(120)}
+    after |= {"x": ["y", "c3"], "y": ["x"], "z": ["c5", "y"], "o": ["gone", None]}
+    depth = {}
+    for c, before in after.items():
+        if c[0] == "c":
+            depth[c] = max((depth[b] + 1 for b in before), default=0)
+    depth |= {"x": None, "y": None, "z": None, "o": 0}
+    rows = spark.createDataFrame([("k", c, b) for c, b in after.items()], "conv string, call_id string, after array<string>")
+    assert {g.call_id: g.depth for g in chat.levels(rows, ["conv"]).collect()} == depth
+
+
+def test_chat_further_columns_and_canonical_arguments(spark):
+    calls = spark.createDataFrame([("k", "a", None, "reply", ' {"turn":3,  "text":"hi", "z": {"b":1,"a":[ 2 ]}}', 7, "c"), ("k", "b", "a", "reply", "no json", 8, "d"), ("k", "d", None, "reply", None, 9, "e")], "conv string, call_id string, after string, name string, arguments string, extra int, json string")
+    results = spark.createDataFrame([("k", "a", "long " * 200_000, "m")], "conv string, call_id string, content string, other string")
+    got = {(g.kind, g.call_id): g for g in chat.linked(calls, results, ["conv"]).collect()}
+    assert json.loads(got["call", "a"].json)["arguments"] == '{"text":"hi","turn":3,"z":{"a":[2],"b":1}}'
+    assert json.loads(got["call", "b"].json)["arguments"] == "no json" and "arguments" not in json.loads(got["call", "d"].json)
+    assert got["call", "a"].extra == 7 and got["call", "a"].other is None and got["result", "a"].other == "m"
+    assert len(json.loads(got["result", "a"].json)["content"]) == 1_000_000
+
+
 def test_chat_arguments(spark):
     cases = {'{"text":"hi","turn":3}': True, '{"turn":3,"text":"hi"}': True, '{"text":"","turn":3}': False, '{"text":"hi"}': False, '{"text":5,"turn":3}': False, '{"text":"hi","turn":"3"}': False, '{"text":"hi","turn":-1}': False, '{"text":"hi","turn":3,"more":1}': False, "[1]": False, "no": False, None: False}
     rows = spark.createDataFrame([(k,) for k in cases], "a string")
