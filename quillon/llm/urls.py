@@ -77,7 +77,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         return spark.createDataFrame([], schema)
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets).associationRules
     mined = found.where(F.startswith(F.col("consequent")[0], F.lit("label="))).where(~F.exists("antecedent", lambda a: F.startswith(a, F.lit("label="))))
-    mined = materialize(mined.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 7, 100).alias("label"), "confidence", "support"), "rules")
+    mined = materialize(mined.select(F.array_sort("antecedent").alias("items"), F.regexp_replace(F.col("consequent")[0], "^label=", "").alias("label"), "confidence", "support"), "rules")
     # a rule goes if one with one item less says the same with no less confidence
     less = mined.select("label", F.col("confidence").alias("c"), F.explode(F.transform("items", lambda i: F.array_remove(F.col("items"), i))).alias("shorter"), "items")
     beaten = less.join(mined.select("label", F.col("items").alias("shorter"), F.col("confidence").alias("d")), ["label", "shorter"]).where("d >= c").select("label", "items").distinct()
@@ -99,6 +99,21 @@ def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(by_set, "items", "left")
 
 
+def measured(pages: DataFrame, rules: DataFrame, url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE, fold: int = 0, folds: int = 5) -> DataFrame:
+    """How mined rules do on urls they were not mined from: of the hosts whose crc32 mod `folds` is `fold`, the urls that a listed rule settles.
+
+    One row: n (such urls), settled (a mined rule matches), right (with the listed rule's label), blocked (the listed rule blocks), found (and a mined
+    rule does too). Whole hosts are held out, so no url is judged by its own neighbours.
+    """
+    host, path = host_and_path(F.col(url_col))
+    split = pages.select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    judged = listed(split.withColumn("items", items(F.col("url"), F.col("host"), F.col("path"))).drop("url"), rules).where("listed IS NOT NULL")
+    judged = materialize(judged.withColumn("held", F.crc32(F.col("host").cast("binary")) % folds == fold), "judged")
+    out = matched(judged.where("held"), mine(judged.where("NOT held").select("items", F.col("listed").alias("label")), support, confidence))
+    same, block = F.col("mined") == F.col("listed"), F.col("listed") == "block"
+    return out.agg(F.count("*").alias("n"), F.count("mined").alias("settled"), F.count_if(same).alias("right"), F.count_if(block).alias("blocked"), F.count_if(same & block).alias("found"))
+
+
 def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """For every row: page_id, host, path, rule, verdict, mined. rules: verdict, host, path.
 
