@@ -12,6 +12,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ from quillon.runtime import ship
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words whose counts a worker remembers.
 REMEMBERED = 400_000
+#: Bytes of a text whose words are held at once.
+AT_ONCE = 1 << 20
 
 
 class Automaton:
@@ -99,6 +102,18 @@ def automaton(path: str) -> Automaton:
     return Automaton(*pieces(path))
 
 
+def _parts(text: np.ndarray) -> Iterator[bytes]:
+    """A text in parts of about AT_ONCE bytes that end between words, so that the words of a very long one are never all held at once."""
+    at = 0
+    while len(text) - at > 2 * AT_ONCE:
+        end = at + AT_ONCE
+        while end < len(text) and not _text.SPACE[text[end]]:
+            end += 1
+        yield text[at:end].tobytes()
+        at = end
+    yield text[at:].tobytes()
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     r"""For every row: doc_id, n_words, n_tokens. Words are [^\x20\x09-\x0D]+; each is split greedily into the longest pieces, the first with a leading space.
 
@@ -114,17 +129,20 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             data, at = _text.buffers(b.column(1))
             words, tokens = [], []
             for i in range(b.num_rows):
-                n, found = 0, data[at[i] : at[i + 1]].tobytes().split()
-                for w in found:
-                    k = known.get(w)
-                    if k is None:
-                        k = machine.count(b" " + w)
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        if len(w) < 64:
-                            known[w] = k
-                    n += k
-                words.append(len(found))
+                n = seen = 0
+                for part in _parts(data[at[i] : at[i + 1]]):
+                    found = part.split()
+                    for w in found:
+                        k = known.get(w)
+                        if k is None:
+                            k = machine.count(b" " + w)
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            if len(w) < 64:
+                                known[w] = k
+                        n += k
+                    seen += len(found)
+                words.append(seen)
                 tokens.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
