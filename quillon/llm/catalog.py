@@ -11,7 +11,7 @@ _QUERIES = {
     "op4_exact_dedup": (exact.op4_exact_dedup, exact.ORACLE),
     "op5_mixing": (mixing.op5_mixing, mixing.ORACLE),
     "op6_media": (media.op6_media, None),
-    "op7_suffix_dedup": (repeats.op7_suffix_dedup, None),
+    "op7_suffix_dedup": (repeats.op7_suffix_dedup, repeats.ORACLE),
     "op8_toxicity": (toxicity.op8_toxicity, None),
     "op9_sentencepiece": (pieces.op9_sentencepiece, None),
     "op10_url_filter": (urls.op10_url_filter, None),

@@ -446,3 +446,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = without_repeats(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN t USING (m)),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM r),
+c AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS before, max(hi) AS last
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_removed, 0) > 0 AS has_repeats,
+  CAST(len(h) // 2 AS BIGINT) - coalesce(n_removed, 0) AS n_kept
+FROM d LEFT JOIN c USING (doc_id)"""
