@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Every stage but the last returns the columns of documents; mixing adds copy and position. No stage can be put into SQL as a whole (a trained classifier, hashes, a tokenizer), so
-ORACLE_SQL is None and the tests compare run() with a brute-force version.
+Every stage but the last returns the columns of documents; mixing adds copy and position. Not all stages can be put into SQL (a trained classifier, a
+tokenizer), so ORACLE_SQL is None and tests/llm/test_pipeline.py compares run() with a brute-force version. Ids may be null or repeated, texts null,
+empty or very long, and tables empty: every row is one of its own. Rows of equal texts are one after the second stage, whatever their ids; rows
+without an id are linked with nothing in the third.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact, mixing, near, pieces, toxicity
-from quillon.runtime import materialize
+from quillon.runtime import fresh_path, materialize, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        path = fresh_path(spark, f"stage-{k}")
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}", path)

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,22 +23,46 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where all runs on one machine, one of our own if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         found = f"file://{tempfile.gettempdir()}/quillon-shared"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside goes when it ends: intermediate tables, and what failed attempts of tasks left there. Nothing that
+    was read from it may be used afterwards, but for what was written to a path that was made before."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,7 +82,11 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once for each application, and bound the batches that go to Python."""
+    """Hand this package to the executors, once for each application, and bound the batches that go to Python.
+
+    Where the session has no limit of its own on the bytes of an Arrow batch, its setting spark.sql.execution.arrow.maxBytesPerBatch is ARROW_BYTES
+    from then on: plans are lazy, so it has to hold until they run.
+    """
     unlimited = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     if unlimited is None or int(unlimited) >= 1 << 31:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)

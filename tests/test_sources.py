@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -192,3 +193,16 @@ def test_transcripts(spark, tmp_path):
     assert len(transcripts.usage(sessions, "atlas", ".rs", "guard:", everything=True).collect()) == 3
     edited, commands = transcripts.touched(sessions)
     assert [tuple(r) for r in edited.collect()] == [("s1", "a.rs")] and [tuple(r) for r in commands.collect()] == [("s1", "atlas map x; cat b.rs")]
+
+
+def test_shared_folder_and_scratch(spark):
+    from quillon.runtime import fresh_path, materialize, scratch, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    path = fresh_path(spark, "kept")
+    with scratch(spark):
+        inner = materialize(spark.range(3), "inner")
+        kept = materialize(inner.where("id > 0"), "kept", path)
+        gone = inner.inputFiles()[0].removeprefix("file://")
+        assert Path(gone).exists()
+    assert not Path(gone).exists() and kept.count() == 2
