@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from quillon.runtime import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20240229
 #: Segmentations that a worker remembers, and characters of text that it works on at once.
-REMEMBERED, AT_ONCE = 250_000, 1 << 20
+REMEMBERED, AT_ONCE = 100_000, 2 << 20
 #: Longest word of the shared agenda (its positions take five bits), and fewest words of one length for which it pays.
 SHARED, FEWEST = 24, 24
 #: Merges never cross a line feed or the start of a run of spaces.
@@ -218,18 +219,6 @@ def segment_all(letters: np.ndarray, vocab: Vocabulary, skips: np.ndarray) -> tu
         offer(h[more], i[more], cols[more])
 
 
-class _Numbers(dict):
-    """Numbers things in the order in which they are first asked for."""
-
-    def __init__(self):
-        self.fresh: list = []
-
-    def __missing__(self, key: str | int) -> int:
-        self[key] = n = len(self)
-        self.fresh.append(key)
-        return n
-
-
 class Encoder:
     """Encodes texts; remembers what words become with each set of skipped candidates, within a bound."""
 
@@ -242,24 +231,24 @@ class Encoder:
 
     def _forget(self) -> None:
         #: Of a word without skips, and of number << 32 | candidate for what is as that number but skips this later candidate too.
-        self.numbers = _Numbers()
+        self.numbers: dict[str | int, int] = {}
         self.words: list[str] = []
         self.skips = np.zeros((2, 0), np.uint64)
         #: By number: where its ids start in flat, how many they are, and how many candidates it meets.
         self.start, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self) -> None:
-        """Segments what has a number but is not known: words, or what skips one more candidate."""
-        fresh, self.numbers.fresh = self.numbers.fresh, []
-        if not fresh:
-            return
+    def _learn(self, fresh: list[str] | np.ndarray) -> None:
+        """Numbers and segments what is not known yet: distinct words, or what skips one more candidate."""
         n = len(fresh)
-        if isinstance(fresh[0], str):
+        if not n:
+            return
+        if isinstance(fresh, list):
             words, skips = fresh, np.zeros((2, n), np.uint64)
+            self.numbers.update(zip(fresh, range(len(self.words), len(self.words) + n)))
         else:
-            keys = np.array(fresh, np.int64)
-            parents, number = keys >> 32, keys & 0xFFFFFFFF
+            self.numbers.update(zip(fresh.tolist(), range(len(self.words), len(self.words) + n)))
+            parents, number = fresh >> 32, fresh & 0xFFFFFFFF
             words, skips = [self.words[p] for p in parents.tolist()], self.skips[:, parents]
             skips[number >> 6, np.arange(n)] |= np.uint64(1) << (number & 63).astype(np.uint64)
         self.words += words
@@ -301,8 +290,8 @@ class Encoder:
 
     def _find(self, words: list[str], keys: np.ndarray) -> np.ndarray:
         """The number of what each of these words (of at most SHARED characters) becomes under its key."""
+        self._learn(list(set(words).difference(self.numbers)))
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        self._learn()
         left, number = np.arange(len(words) if self.limit else 0), np.zeros(len(words), np.int64)
         while len(left):
             skipping = []
@@ -312,9 +301,13 @@ class Encoder:
                 left = left[~skips]
                 number[left] += 1
             left = np.concatenate([np.zeros(0, np.int64), *skipping])
-            at[left] = np.fromiter(map(self.numbers.__getitem__, (at[left] << 32 | number[left]).tolist()), np.int64, len(left))
+            distinct, which = np.unique(at[left] << 32 | number[left], return_inverse=True)
+            known = np.fromiter(map(self.numbers.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+            new = known < 0
+            known[new] = np.arange(len(self.words), len(self.words) + new.sum())
+            self._learn(distinct[new])
+            at[left] = known[which]
             number[left] += 1
-            self._learn()
         return at
 
     def _ids(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,13 +323,16 @@ class Encoder:
                 extra.append(np.array(segment(words[k], self.vocab, int(keys[k]), self.limit), np.int32))
                 words[k] = ""
         at = self._find(words, keys)
+        del words
         start, size, flat = self.start[at], self.size[at].astype(np.int64), self.flat
         if long:
             counts = np.fromiter(map(len, extra), np.int64, len(extra))
             size[long], start[long] = counts, len(flat) + np.cumsum(counts) - counts
             flat = np.concatenate([flat, *extra])
         ends = np.cumsum(size)
-        return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+        place = np.repeat((start - ends + size).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place], size
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text (with the space that is put before it), AT_ONCE characters at a time where they part."""
