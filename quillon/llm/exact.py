@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.runtime import bounded, materialize, ship
+from quillon.llm.rows import keyed, staying
+from quillon.runtime import materialize, ship
 
 #: [\x20\x09-\x0D]
 BLANK = " \t\n\x0b\x0c\r"
@@ -31,11 +32,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """For each row: row, id, number of code points, and digest, byte length and second hash of the text without white space. row names the row."""
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
-    return rows.select("row", "doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("proof"), "n_chars")
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """For each row: row (a number, lasting once this is written), id, number of code points, and digest, byte length and second hash of the text
+    without white space; columns in also."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *also, F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
+    return rows.select("row", "doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("proof"), "n_chars", *also)
 
 
 def _best(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -111,10 +112,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts; columns as they were. Ids may be null or repeated: rows are told apart by a number of their own."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    keep = materialize(_judged(materialize(digests(rows, id_col, text_col, "__row"), "digests")).where("row = keep_row").select(F.col("row").alias("__row")), "keep")
-    return rows.join(bounded(keep), "__row", "left_semi").select(*docs.columns)
+    """docs with one row of each group of equal texts; columns as they were. Ids may be null or repeated."""
+    found = materialize(digests(keyed(docs.select(id_col, text_col), id_col, text_col), id_col, text_col, ("doc", "tag")), "digests")
+    return staying(docs, _judged(found).select("doc", "tag", (F.col("row") == F.col("keep_row")).alias("stays")), id_col, text_col)
 
 
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import _text
 from quillon.llm.components import components
+from quillon.llm.rows import keyed, staying
 from quillon.runtime import bounded, materialize, ship
 
 REGISTERS = 128
@@ -34,7 +35,7 @@ BLOCK = 500_000
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _INDEX_BITS)
 #: Row j: the order in which register j asks the others when it is empty.
 _PROBES = np.stack([np.random.default_rng(1000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
-SIGNATURE = "row long, doc_id long, n_shingles long, digest binary, sig binary"
+SIGNATURE = "doc_id long, tag long, n_shingles long, digest binary, sig binary"
 
 
 def registers(h: np.ndarray) -> np.ndarray:
@@ -63,7 +64,7 @@ def sets(ids: pa.Array, texts: pa.Array, k: int) -> Iterator[tuple[object, np.nd
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """docs: row, doc_id, text."""
+    """docs: doc_id, tag, text."""
 
     @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(h))
                 digest.append(_digest(h) if len(h) else None)
                 sig.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["row", "doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "tag", "n_shingles", "digest", "sig"])
 
     return docs.mapInArrow(run, SIGNATURE)
 
@@ -238,11 +239,11 @@ def _between(left: DataFrame, full: DataFrame, num: int, den: int, block: int =
 
 
 def _grouped(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """docs: row (distinct), doc_id, text -> row, doc_id, n_shingles, component_id, leader (the row that stays for its group: of the smallest id).
+    """docs: doc_id, tag, text -> row, doc_id, tag, n_shingles, component_id, leader (the row that stays for its group: of the smallest id).
 
     A class is a set of shingles, whatever ids its rows have; it is named by one of its rows, so an id that has several texts is in several classes.
     """
-    signed = materialize(signatures(docs, shingle), "signed")
+    signed = materialize(signatures(docs.select("doc_id", "tag", "text"), shingle).withColumn("row", F.monotonically_increasing_id()), "signed")
     usable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "row", "n_shingles", "sig")).alias("s")
     classes = usable.groupBy("digest").agg(first).select("digest", F.col("s.row").alias("rep"), F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), F.col("s.sig").alias("sig"))
@@ -270,9 +271,9 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     placed = materialize(classes.select("digest", "rep", "id").join(found.withColumnRenamed("id", "rep"), "rep", "left"), "placed")
     best = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "rep")).alias("best"))
     named = placed.join(best, "comp", "left").select("digest", F.coalesce("best.id", "id").alias("component"), F.coalesce("best.rep", "rep").alias("leader"))
-    out = signed.select("row", "doc_id", "n_shingles", "digest").join(materialize(named, "named"), "digest", "left")
+    out = signed.select("row", "doc_id", "tag", "n_shingles", "digest").join(materialize(named, "named"), "digest", "left")
     has_id = F.col("doc_id").isNotNull()
-    return out.select("row", "doc_id", "n_shingles", F.when(has_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("leader", "row")).otherwise(F.col("row")).alias("leader"))
+    return out.select("row", "doc_id", "tag", "n_shingles", F.when(has_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("leader", "row")).otherwise(F.col("row")).alias("leader"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows like others: each is linked by its own text. Other columns are ignored. A pair at the threshold shares no band with probability 5e-8.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), F.col(text_col).alias("text"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     return _grouped(rows, shingle, num, den).select("doc_id", "n_shingles", "component_id", kept)
 
@@ -294,10 +295,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id, and without words, all stay.
     """
     ship(docs.sparkSession)
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    keyed = rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = materialize(_grouped(keyed, shingle, 80, 100).where("row <> leader").select(F.col("row").alias("__row")), "gone")
-    return rows.join(bounded(gone), "__row", "left_anti").select(*docs.columns)
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    found = _grouped(rows, shingle, 80, 100).where("doc_id IS NOT NULL")
+    return staying(docs, found.select(F.col("doc_id").alias("doc"), "tag", (F.col("row") == F.col("leader")).alias("stays")), id_col, text_col)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import _text
+from quillon.llm.rows import keyed
 from quillon.runtime import bounded, materialize, shared_dir, ship
 
 LENGTH = 400
@@ -429,7 +430,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     may be null or repeated: every row counts as a document, and rows with equal texts lose the same bytes. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("tag", F.xxhash64("text")).withColumn("doc", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")))
+    docs = keyed(docs)
     found = repeated_spans(docs.select("doc", "tag", "text"), length, **limits).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
 
     @_text.frugal
