@@ -90,12 +90,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.margin(found), -30, 30))))
 
 
-def _telling(p: list[np.ndarray], u: list[np.ndarray], least_z: float) -> np.ndarray:
-    """The features that are in P much more often than in U."""
-    n_p, n_u = (np.bincount(np.concatenate(x), minlength=1 << BITS).astype(float) for x in (p, u))
-    rate = (n_u + 0.5) / (len(u) + 1)
-    z = (n_p - len(p) * rate) / np.sqrt(len(p) * rate * (1 - rate).clip(1e-9) + 1)
-    return np.flatnonzero(z >= least_z).astype(np.int32)
+def _telling(p: list[np.ndarray], u: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of P, and how many standard deviations more often they are in P than by chance."""
+    found, n_p = np.unique(np.concatenate(p), return_counts=True)
+    n_u = np.zeros(1 << BITS, np.int32)
+    for f in u:
+        n_u[f] += 1  # distinct within a text
+    rate = (n_u[found] + 0.5) / (len(u) + 1)
+    return found, (n_p - len(p) * rate) / np.sqrt(len(p) * rate * (1 - rate).clip(1e-9) + 1)
 
 
 class _Rows:
@@ -116,9 +118,8 @@ class _Rows:
         return self.flat[np.repeat(self.ends[rows] - np.cumsum(n) + n, n) + np.arange(len(who))], who
 
 
-def fitted(p: list[np.ndarray], u: list[np.ndarray], prior: float, least_z: float, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0, seed: int = 7) -> Model | None:
-    """The model of these texts; none without any telling feature."""
-    kept = _telling(p, u, least_z)
+def fitted(p: list[np.ndarray], u: list[np.ndarray], prior: float, kept: np.ndarray, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0, seed: int = 7) -> Model | None:
+    """The model of these texts over the kept features; none without any."""
     if not len(kept):
         return None
     k = len(kept)
@@ -155,22 +156,25 @@ def chosen(p: list[np.ndarray], u: list[np.ndarray], prior: float, folds: int =
     over folds of P and U; of equals the strictest."""
     if min(len(p), len(u)) < 2 * folds:
         return choices[-1]
-    best = []
-    for z in choices:
-        hit = said = 0
-        for k in range(folds):
-            inside = [[f for i, f in enumerate(x) if i % folds != k] for x in (p, u)]
-            model = fitted(*inside, prior, z, epochs=15)
+    hit, said = np.zeros(len(choices)), np.zeros(len(choices))
+    for k in range(folds):
+        inside = [[f for i, f in enumerate(x) if i % folds != k] for x in (p, u)]
+        found, z = _telling(*inside)
+        for c, least in enumerate(choices):
+            model = fitted(*inside, prior, found[z >= least], epochs=15)
             if model is not None:
-                hit += sum(model.margin(f) >= 0 for f in p[k::folds])
-                said += sum(model.margin(f) >= 0 for f in u[k::folds])
-        best.append(((hit / len(p)) ** 2 / max(said, 1) * len(u), z))
-    return max(best)[1]
+                hit[c] += sum(model.margin(f) >= 0 for f in p[k::folds])
+                said[c] += sum(model.margin(f) >= 0 for f in u[k::folds])
+    return max(zip((hit / len(p)) ** 2 / np.maximum(said, 1) * len(u), choices))[1]
 
 
 def train(p: list[np.ndarray], u: list[np.ndarray], prior: float) -> Model:
     """Features of confirmed and of unlabelled texts -> model. Without both, or without any telling feature, the model says the prior."""
-    model = fitted(p, u, prior, chosen(p, u, prior)) if p and u and 0 < prior < 1 else None
+    model = None
+    if p and u and 0 < prior < 1:
+        least = chosen(p, u, prior)
+        found, z = _telling(p, u)
+        model = fitted(p, u, prior, found[z >= least])
     return model or Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
 
 
