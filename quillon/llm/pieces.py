@@ -30,7 +30,7 @@ from quillon.runtime import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20240229
 #: Segmentations that a worker remembers, and characters of text that it works on at once.
-REMEMBERED, AT_ONCE = 100_000, 2 << 20
+REMEMBERED, AT_ONCE = 100_000, 3 << 19
 #: Longest word of the shared agenda (its positions take five bits), and fewest words of one length for which it pays.
 SHARED, FEWEST = 24, 24
 #: Merges never cross a line feed or the start of a run of spaces.
@@ -408,7 +408,7 @@ def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             for i, found in enumerate(encoder.encode_all(b.column(at).to_pylist(), b.column(key).to_pylist(), copies)):
                 values.append(found)
                 ends.append(ends[-1] + len(values[-1]))
-                if ends[-1] > 4 << 20 or i == b.num_rows - 1:
+                if ends[-1] > 1 << 20 or i == b.num_rows - 1:
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
                     part = b.slice(done, i + 1 - done)
                     yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
