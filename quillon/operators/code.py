@@ -13,9 +13,11 @@ from pyspark.sql import Window as W
 
 from quillon.functions import docs, paths
 from quillon.runtime import bounded, materialize
+from quillon.sources import script
 from quillon.sources.trees import Catalog
 
-STANDARD = ("std", "core", "alloc", "proc_macro", "test")
+#: By language: packages that come with it.
+STANDARD = {"rust": ("std", "core", "alloc", "proc_macro", "test"), "typescript": script.BUILTINS}
 _REF = ["project_id", "file_id", "seq"]
 #: Framework pack: method -> kind of relation and which part is its target.
 PACK = {
@@ -55,7 +57,7 @@ def _absolute(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
         F.when(F.col("first").isNull(), "other")
         .when(F.col("first").isin("crate", "self"), "internal")
         .when(F.col("first") == "super", F.when(ups > F.size("module"), "unresolved").otherwise("internal"))
-        .when(F.col("first").isin(*STANDARD) | F.col("declared"), "external")
+        .when(F.col("first").isin(*STANDARD["rust"]) | F.col("declared"), "external")
         .when(F.col("is_child"), "internal")
         .otherwise("name")
     )
@@ -63,11 +65,54 @@ def _absolute(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
     return named.withColumns({"tag": tag, "abs": where}).drop("declared", "child", "is_child")
 
 
-def resolved(cat: Catalog, externals: DataFrame) -> DataFrame:
-    """Every reference with tag (internal, external, unresolved or other), package, target module and symbol. externals: project_id, name."""
+def resolved(cat: Catalog, externals: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Every reference with tag (internal, external, unresolved or other), package, target module and symbol. externals: project_id, name.
+
+    aliases (of scripts only): project_id, prefix, exact, target (a module's path): what names stand for that start with prefix (or are it, if
+    exact); a null prefix is the folder that other names are looked for in.
+    """
+    if cat.language == "typescript":
+        return resolve_script(_located(cat, cat.refs), cat, externals, aliases)
     return resolve(_located(cat, cat.refs), cat, externals)
 
 
+def normal_module(path: Column) -> Column:
+    """A script module's path without a source extension on its last part and without a trailing index."""
+    last = F.regexp_replace(F.element_at(path, -1), rf"(?<=.)\.({'|'.join(script.EXTENSIONS)})$", "")
+    ahead = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+    return F.when(F.size(path) == 0, path).when(last == "index", ahead).otherwise(F.concat(ahead, F.array(last)))
+
+
+def resolve_script(rows: DataFrame, cat: Catalog, externals: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """rows (project_id, file_id, seq, module, segments, anchored, ...) with tag, package, target and symbol.
+
+    Anchored paths are modules' already. Others are, in this order, what the longest alias makes of them, what lies in the base folder (if its first
+    segment is a module there), a package that is declared or comes with the language, or nothing known.
+    """
+    key, first, none = ["project_id", "file_id", "seq"], F.get("segments", F.lit(0)), F.lit(None).cast("array<string>")
+    if aliases is None:
+        aliases = rows.sparkSession.createDataFrame([], "project_id string, prefix string, exact boolean, target array<string>")
+    joined = F.array_join("segments", "/")
+    bare = materialize(rows.where("NOT anchored").select(*key, "segments"), "bare")
+    rules = bounded(aliases.where("prefix IS NOT NULL"))
+    fits = bare.join(rules, "project_id").where(F.when(F.col("exact"), joined == F.col("prefix")).otherwise(F.startswith(joined, F.col("prefix"))))
+    rest = F.filter(F.split(F.substring(joined, F.length("prefix") + 1, F.length(joined)), "/"), lambda x: x != "")
+    claimed = fits.groupBy(*key).agg(F.min_by(F.concat("target", rest), F.struct(-F.length("prefix"), "prefix")).alias("claimed"))
+    bases = bounded(aliases.where("prefix IS NULL").select("project_id", F.col("target").alias("base")))
+    known = bounded(cat.modules.select("project_id", "module"))
+    lying = bare.join(bases, "project_id").withColumn("module", F.concat("base", F.array(first))).join(known, ["project_id", "module"]).select(*key, F.concat("base", "segments").alias("lying"))
+    named = rows.join(claimed, key, "left").join(lying, key, "left")
+    declared = bounded(externals.select("project_id", F.col("name").alias("first"), F.lit(True).alias("declared")).distinct())
+    named = named.withColumn("first", first).join(declared, ["project_id", "first"], "left")
+    taken = F.coalesce("claimed", "lying")
+    where = F.when(F.col("anchored"), F.col("segments")).when(taken.isNotNull(), normal_module(taken))
+    tag = F.when(where.isNotNull(), "internal").when(F.col("first").isin(*STANDARD["typescript"]) | F.coalesce("declared", F.lit(False)), "external").otherwise("other")
+    every = materialize(named.withColumns({"tag": tag, "abs": where}).drop("claimed", "lying", "declared"), "resolved")
+    inside = _targets(every.where("tag = 'internal'"), cat)
+    outside = every.where("tag <> 'internal'").withColumns({"target": none, "symbol": F.lit(None).cast("string")})
+    return inside.unionByName(outside).withColumn("package", F.when(F.col("tag") == "external", F.col("first"))).drop("first", "abs")
+
+
 def resolve(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
     """rows (project_id, file_id, seq, module, segments, ...) with tag, package, target and symbol; file_id and seq name a row.
 
@@ -106,9 +151,9 @@ def unresolved(references: DataFrame) -> DataFrame:
     return references.where("tag = 'unresolved'").select("project_id", "file_id", "line", F.array_join("segments", "::").alias("path"))
 
 
-def external_uses(references: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def external_uses(references: DataFrame, scope: list[str] | None = None, language: str = "rust") -> DataFrame:
     """Packages by the files that use them outside of tests and in them; those of the language are left out."""
-    rows = references.where("tag = 'external'").where(~F.col("package").isin(*STANDARD))
+    rows = references.where("tag = 'external'").where(~F.col("package").isin(*STANDARD[language]))
     if scope:
         rows = rows.where(paths.is_under("module", F.array(*map(F.lit, scope))))
     main, test = (F.count_distinct(F.when(F.col("in_test") == t, F.col("file_id"))) for t in (False, True))

@@ -5,7 +5,9 @@ Plans are DataFrames over the whole catalog; only what a report prints is collec
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from copy import copy
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +60,15 @@ def drawn(nodes: list[Node], before: str = "") -> list[str]:
     return out
 
 
-def item_line(item) -> str:
-    """Signature, with the owner before the name, labels and [no doc]."""
-    signature = item.signature if item.owner is None else item.signature.replace(f" {item.name}", f" {item.owner}::{item.name}", 1)
+def item_line(item, joint: str = "::") -> str:
+    """Signature, with the owner before the name, labels and [no doc]. joint: what stands between owner and name."""
+    signature, owned = item.signature, f"{item.owner}{joint}{item.name}"
+    if item.owner is not None and f" {item.name}" in signature:
+        signature = signature.replace(f" {item.name}", f" {owned}", 1)
+    elif item.owner is not None and signature.startswith(item.name):
+        signature = owned + signature.removeprefix(item.name)
+    if item.owner is not None and joint != "::" and item.vis < 2:
+        signature = f"{('private', 'protected')[item.vis]} {signature}"
     flags = [*(item.labels or []), *([] if item.documented or item.kind == "use" else ["[no doc]"])]
     return signature + (f"   {' · '.join(flags)}" if flags else "")
 
@@ -68,25 +76,28 @@ def item_line(item) -> str:
 class Reports:
     """A catalog of one project with its externals, relation patterns and fact prefixes."""
 
-    def __init__(self, cat: Catalog, externals: list[str] = (), patterns: list[tuple[str, str]] = (), pack: bool = False, source_dir: str = "src", present: DataFrame | None = None, facts: list[str] = ()):
+    def __init__(self, cat: Catalog, externals: list[str] = (), patterns: list[tuple[str, str]] = (), pack: bool = False, source_dir: str = "src", present: DataFrame | None = None, facts: list[str] = (), aliases: list[tuple[str | None, bool, list[str]]] = ()):
         spark = cat.files.sparkSession
-        self.facts = list(facts)
+        self.facts, self.joint = list(facts), "::" if cat.language == "rust" else "."
         self.cat, self.patterns, self.pack, self.source_dir = cat, list(patterns), pack, source_dir
         project = cat.files.select("project_id").first()
         self.project = project.project_id if project else ""
         self.externals = spark.createDataFrame([(self.project, e) for e in externals], "project_id string, name string")
+        named = spark.createDataFrame([(self.project, *a) for a in aliases], "project_id string, prefix string, exact boolean, target array<string>")
         self.present = present if present is not None else cat.files.select("project_id", F.col("path").alias("target"))
-        self.references = materialize(code.resolved(cat, self.externals), "references")
+        self.references = materialize(code.resolved(cat, self.externals, named), "references")
         self.edges = code.edges(self.references)
 
     def name(self, module: list[str], root: str = "crate") -> str:
+        if self.cat.language != "rust":
+            return "/".join(module) or "(root)"
         return "::".join([root, *module]) if root else "::".join(module) or "crate (root)"
 
     def _under(self, df: DataFrame, scope: list[str]) -> DataFrame:
         return df.where(paths.is_under("module", F.array(*map(F.lit, scope)).cast("array<string>")))
 
     def _externals(self, scope: list[str]) -> str:
-        rows = code.external_uses(self.references, scope).collect()
+        rows = code.external_uses(self.references, scope, self.cat.language).collect()
         order = sorted(rows, key=lambda r: (r.tests_only, -(r.main_files or r.test_files), r.package))
         return " · ".join(f"(tests) {r.package}" if r.tests_only else f"{r.package} {r.main_files}" for r in order)
 
@@ -192,8 +203,23 @@ class Reports:
             out.append((r.link, None if r.status == "broken" else place))
         return out
 
-    def check(self, scope: list[str] = ()) -> tuple[str, bool]:
-        """Documentation, links, recipes and syntax of scope as text, and whether something is wrong with it (tests never count)."""
+    def check(self, scope: list[str] = (), changed: DataFrame | None = None, base: DataFrame | None = None) -> tuple[str, bool]:
+        """Documentation, links, recipes and syntax of scope as text, and whether something is wrong with it (tests never count).
+
+        changed: path, is_new: only these files are looked at; of those that are not new, module documentation is not asked for, and of their items
+        only what is not in base (path, owner, name, signature).
+        """
+        if changed is not None:
+            inside = self.cat.files.join(changed, "path")
+            known = self.cat.files.select("project_id", "file_id", "path").join(base, "path").select("project_id", "file_id", F.coalesce("owner", F.lit("")).alias("of"), "name", "signature").withColumn("known", F.lit(True)).distinct()
+            items = self.cat.items.join(inside.select("project_id", "file_id"), ["project_id", "file_id"], "left_semi").withColumn("of", F.coalesce("owner", F.lit("")))
+            items = items.join(known, ["project_id", "file_id", "of", "name", "signature"], "left").where("known IS NULL").select(*self.cat.items.columns)
+            docless = F.when(F.col("is_new"), F.col("module_doc")).otherwise(F.when(F.size("module_doc") > 0, F.col("module_doc")).otherwise(F.array(F.lit("not asked for"))))
+            files = inside.withColumn("module_doc", docless).select(*self.cat.files.columns)
+            part = copy(self)
+            part.cat = replace(self.cat, files=files, items=materialize(items, "items"), tests=self.cat.tests.join(files.select("project_id", "file_id"), ["project_id", "file_id"], "left_semi"))
+            part.links = lambda: self.links().join(files.select("project_id", "file_id"), ["project_id", "file_id"], "left_semi")
+            return part.check(scope)
         scope = list(scope)
         has = lambda c: docs.summary(F.array_join(c, "\n")).isNotNull()
         where = self.cat.files.select("project_id", "file_id", "path")
@@ -227,14 +253,14 @@ class Reports:
         r = rows[0]
         marks = code.labels(self.cat, self.pack).where((F.col("file_id") == r.file_id) & (F.col("seq") == r.seq)).first().labels
         flags = [*marks, *(["hidden"] if r.hidden else []), *(["test-only"] if r.test_only else [])]
-        out = [f"{'::'.join(filter(None, (r.owner, r.name)))}  {' · '.join([r.kind, *flags, self.name(r.module), f'{r.path}:{r.start_line}-{r.end_line}'])}", field_line("signature", r.signature)]
+        out = [f"{self.joint.join(filter(None, (r.owner, r.name)))}  {' · '.join([r.kind, *flags, self.name(r.module), f'{r.path}:{r.start_line}-{r.end_line}'])}", field_line("signature", r.signature)]
         out += ["doc", *(f"  {x}" for x in r.doc)] if r.doc else []
         out += ["fields", *(f"  {x}" for x in r.fields)] if r.fields else []
         marked = self.cat.items.join(where, ["project_id", "file_id"]).join(code.labels(self.cat, self.pack), ["project_id", "file_id", "seq"]).withColumn("documented", docs.is_documented("doc"))
         methods = marked.where((F.col("owner") == r.name) & (F.col("module") == F.array(*map(F.lit, r.module)).cast("array<string>"))).collect() if r.owner is None else []
-        out += ["methods", *(f"  {item_line(m)}" for m in sorted(methods, key=lambda m: (m.file_id, m.seq)))] if methods else []
-        made = code.relations(self.cat, self.patterns, self.pack).collect()
-        wired = [x for x in sorted(made, key=lambda x: (x.file_id, x.line, x.place)) if x.target.split("::")[-1] == r.name]
+        out += ["methods", *(f"  {item_line(m, self.joint)}" for m in sorted(methods, key=lambda m: (m.file_id, m.seq)))] if methods else []
+        made = code.relations(self.cat, self.patterns, self.pack).where(F.element_at(F.split("target", "::"), -1) == r.name).collect()
+        wired = sorted(made, key=lambda x: (x.file_id, x.line, x.place))
         out += [field_line("wired by", " · ".join(f"{x.owner} {x.kind} {x.target}" for x in wired))] if wired else []
         if r.owner is None:
             used = code.users(self.references).where((F.col("symbol") == r.name) & (F.col("target") == F.array(*map(F.lit, r.module)).cast("array<string>"))).join(where, ["project_id", "file_id"]).collect()
@@ -245,10 +271,46 @@ class Reports:
         out += [field_line("called by", " · ".join(calls))] if calls else []
         return page(out)
 
+    def lines(self, path: str, low: int, high: int) -> str:
+        """The items that meet lines low to high of a file: kind, name and lines of each."""
+        asked = self.cat.files.where(F.col("path") == path).select("project_id", "file_id", F.lit(low).alias("from"), F.least(F.lit(high), F.col("lines")).alias("to"))
+        if asked.isEmpty():
+            raise ValueError(f"no file {path}")
+        rows = code.items_between(self.cat, asked).collect()
+        return page([f"{path}:{low}-{high}", *(f"  {r.kind} {self.joint.join(filter(None, (r.owner, r.name)))} {r.start_line}-{r.end_line}" for r in rows)])
+
+    def module_of(self, path: str) -> list[str] | None:
+        """The module of a file, or of a folder that holds some."""
+        path = path.strip("/")
+        own = self.cat.files.where(F.col("path") == path).select("module").first()
+        if own:
+            return list(own.module)
+        top = [p for p in self.source_dir.split("/") if p not in ("", ".")]
+        parts = [p for p in path.split("/") if p not in ("", ".")]
+        if parts[: len(top)] != top:
+            return None
+        below = parts[len(top) :]
+        known = self.cat.modules.where(F.col("module") == F.array(*map(F.lit, below)).cast("array<string>"))
+        return below if not below or not known.isEmpty() else None
+
+    def page_of(self, query: str, split) -> str:
+        """What `show` answers to words of a user: lines of a file (a.rs:3-9), a module or file, or an item. split: query -> segments."""
+        if span := re.fullmatch(r"(.+\.\w+):(\d+)(?:-(\d+))?", query):
+            return self.lines(span[1], int(span[2]), int(span[3] or span[2]))
+        if (module := self.module_of(query) if "/" in query or "." in query else None) is not None:
+            return self.map(module)
+        segments = split(query)
+        try:
+            return self.show(segments)
+        except ValueError as e:
+            modules = code.find(self.cat, segments[1:] if segments[:1] == ["crate"] else segments, segments[:1] == ["crate"]).where("what = 'module'").select("module").take(2)
+            if len(modules) == 1 and str(e).startswith("no symbol"):
+                return self.map(list(modules[0].module))
+            raise
+
     def map(self, scope: list[str], depth: int = 1, fields: bool = False, private: bool = False) -> str:
         """A module and all below it: parts, public items (to `depth` levels), relations, dependencies, contracts, sections and recipes."""
         files = sorted(self._under(self.cat.files, scope).withColumn("purpose", docs.summary(F.array_join("module_doc", "\n"))).collect(), key=lambda f: f.file_id)
-        ids = {f.file_id for f in files}
         own = next((f for f in files if f.module == scope), None)
         is_dir = own is None or not scope or any(f.module != scope for f in files)
         folder = "/".join([self.source_dir, *scope]) + "/"
@@ -270,7 +332,8 @@ class Reports:
         shown = [t for t in sorted(size) if len(t) <= len(scope) + depth]
         out += ["", "TREE", *aligned([("  " * (len(t) - len(scope) - 1) + t[-1] + ("/" if size[t] > 1 else ""), part(t)) for t in shown])] if shown else []
         out += self._api(scope, files, folder if is_dir else own.path.rpartition("/")[0] + "/", depth, fields, private)
-        made = [r for r in code.relations(self.cat, self.patterns, self.pack).orderBy("file_id", "line", "place").collect() if r.file_id in ids]
+        inside = self._under(self.cat.files, scope).select("project_id", "file_id")
+        made = code.relations(self.cat, self.patterns, self.pack).join(inside, ["project_id", "file_id"], "left_semi").orderBy("file_id", "line", "place").collect()
         runs: list[tuple[str, str]] = []
         for r in made:
             if runs and runs[-1][0] == r.owner:
@@ -321,7 +384,7 @@ class Reports:
             if i.file_id != at:
                 at = i.file_id
                 out.append(f"## {path[at].removeprefix(folder)}")
-            out.append(f"  {item_line(i)}")
+            out.append(f"  {item_line(i, self.joint)}")
             if i.kind != "use" and i.about:
                 out += [f"      {i.about}", *(f"      {f}" for f in i.facts if f not in i.about)]
             out += [f"      · {f}" for f in i.fields] if fields else []

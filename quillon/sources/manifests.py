@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.functions.shell import lexical
 from quillon.runtime import ship
 
 _TABLES = ("dependencies", "dev-dependencies", "build-dependencies")
@@ -54,7 +55,7 @@ def package_json(text: str, folder: str = "", dirs: tuple[str, ...] = (), source
     if not isinstance(data, dict):
         return None
     names = sorted({n for t in _JSON_TABLES for n in data.get(t) or {}})
-    return Project(data.get("name") or folder or "package", "ecmascript", names, source or next((d for d in SOURCE_DIRS if d in dirs), ""), workspace="workspaces" in data)
+    return Project(data.get("name") or folder or "package", "typescript", names, source or next((d for d in SOURCE_DIRS if d in dirs), ""), workspace="workspaces" in data)
 
 
 _NOTES = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?(?:\*/|\Z)', re.S)
@@ -84,6 +85,25 @@ def inherited(name: str, read: Callable[[str], str | None], depth: int = 5) -> d
     return options
 
 
+def aliases(options: dict, source_dir: str = "") -> list[tuple[str | None, bool, list[str]]]:
+    """(prefix, exact, module path) for the names that compiler options give folders below source_dir; the base folder has a null prefix."""
+
+    def below(path: str) -> list[str] | None:
+        full = lexical(path, options.get("baseUrl") or "")
+        top = [p for p in source_dir.split("/") if p not in ("", ".")]
+        parts = None if full is None else [p for p in full.split("/") if p]
+        return None if parts is None or parts[: len(top)] != top else parts[len(top) :]
+
+    out = []
+    for pattern, targets in (options.get("paths") or {}).items():
+        target = first_text(targets)
+        path = below(target.removesuffix("*")) if target is not None else None
+        if path is not None:
+            out.append((pattern.removesuffix("*"), not pattern.endswith("*"), path))
+    base = below("") if options.get("baseUrl") is not None else None
+    return out + ([(None, False, base)] if base is not None else [])
+
+
 def first_text(value: object) -> str | None:
     """The first string in nested JSON, depth first."""
     if isinstance(value, str):

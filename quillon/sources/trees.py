@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from quillon.functions import paths
 from quillon.runtime import materialize, ship
+from quillon.sources import rust, script
 
 _OWNER = "struct<ty: string, name: string>"
 _ITEM = "struct<kind: string, name: string, vis: tinyint, signature: string, doc: array<string>, start_line: int, decl_line: int, end_line: int, fields: array<string>, derives: array<string>, owner: string, hidden: boolean, test_only: boolean>"
@@ -21,16 +22,18 @@ PARSED = (
     "project_id string, path string, module array<string>, lines int, module_doc array<string>, module_doc_line int, parse_errors boolean, "
     f"items array<{_ITEM}>, refs array<{_REF}>, calls array<{_CALL}>, trait_impls array<struct<ty: string, trait_name: string>>, tests array<struct<name: string, doc: array<string>>>"
 )
-EXTENSIONS = {"rust": ("rs",)}
+EXTENSIONS = {"rust": ("rs",), "typescript": script.EXTENSIONS}
 _CHILDREN = ("items", "refs", "calls", "trait_impls", "tests")
 
 
+#: By language: module of a file by its path below the source directory, and what is in a source of a folder there.
+_ADAPTERS = {"rust": (rust.module_of, lambda source, folder: rust.parse(source)), "typescript": (script.module_of, script.parse)}
+
+
 def _adapter(language: str):
-    if language not in EXTENSIONS:
+    if language not in _ADAPTERS:
         raise ValueError(f"no parser for {language}")
-    from quillon.sources import rust
-
-    return rust
+    return _ADAPTERS[language]
 
 
 def read_tree(spark: SparkSession, root: str, source_dir: str, language: str, project_id: str = "") -> DataFrame:
@@ -51,7 +54,7 @@ def read_tree(spark: SparkSession, root: str, source_dir: str, language: str, pr
 
 def parsed(files: DataFrame, language: str, source_dir: str = "src") -> DataFrame:
     """files (project_id, path, source) -> a row for each file that belongs to a module, with what is in it as arrays in source order."""
-    adapter = _adapter(language)
+    module_of, parse = _adapter(language)
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +63,10 @@ def parsed(files: DataFrame, language: str, source_dir: str = "src") -> DataFram
             rows = []
             for project, path, source in zip(*(batch.column(c).to_pylist() for c in ("project_id", "path", "source"))):
                 parts = path.split("/")
-                module = adapter.module_of(parts[len(skip) :]) if parts[: len(skip)] == skip else None
+                module = module_of(parts[len(skip) :]) if parts[: len(skip)] == skip else None
                 if module is None:
                     continue
-                found = asdict(adapter.parse(source or ""))
+                found = asdict(parse(source or "", parts[len(skip) : -1]))
                 for kind in ("refs", "calls"):
                     for r in found[kind]:
                         r["owner"] = {"ty": r["owner"][0], "name": r["owner"][1]} if r["owner"] else None
