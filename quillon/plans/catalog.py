@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import dependencies, hierarchy, logs, texts
+from quillon.plans import dependencies, hierarchy, logs, sources, texts
 
-MODULES = [hierarchy, dependencies, texts, logs]
+MODULES = [hierarchy, dependencies, texts, logs, sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
