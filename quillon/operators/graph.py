@@ -53,12 +53,57 @@ def reachable(edges: DataFrame) -> DataFrame:
         size = grown
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those that no cycle can hold: their source has no edge to it or their target none from it."""
+    size = edges.count()
+    while size:
+        kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        edges = materialize(kept.select("source", "target"), "trimmed")
+        left = edges.count()
+        if left == size:
+            break
+        size = left
+    return edges
+
+
+def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """start (node, label) with labels passed on along edges until every node has the smallest that reaches it."""
+    labels = materialize(start, "labels")
+    while True:
+        told = edges.join(labels.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), F.col("label").alias("told")).groupBy("node").agg(F.min("told").alias("told"))
+        both = labels.join(told, "node", "full").select("node", F.least("label", "told").alias("label"), (F.col("label").isNull() | (F.col("told") < F.col("label"))).alias("moved"))
+        both = materialize(both, "labels")
+        labels = both.select("node", "label")
+        if both.where("moved").isEmpty():
+            return labels
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(node, cycle): nodes that reach themselves by way of another, with the smallest node they share a cycle with."""
-    reach = reachable(edges)
-    back = reach.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    mutual = reach.join(back, ["source", "target"]).where("source <> target")
-    return mutual.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.min("source")).alias("cycle"))
+    """(node, cycle): nodes that reach themselves by way of another, with the smallest node they share a cycle with.
+
+    Nodes and edges only, never pairs of nodes: what no cycle can hold is trimmed off; every node takes the smallest node that reaches it as its
+    colour; those that reach the node of their colour within the colour share its cycle. They leave, and the rest goes on.
+    """
+    found: list[DataFrame] = []
+    left = _trimmed(materialize(edges.where("source <> target").select("source", "target").distinct(), "edges"))
+    while not left.isEmpty():
+        nodes = left.select(F.col("source").alias("node")).union(left.select("target")).distinct()
+        colour = _spread(left, nodes.withColumn("label", F.col("node")))
+        ends = left.join(colour.toDF("source", "a"), "source").join(colour.toDF("target", "b"), "target")
+        same = materialize(ends.where("a = b").select(F.col("target").alias("source"), F.col("source").alias("target")), "same")  # turned round
+        back = _spread(same, colour.where("node = label"))
+        cycle = materialize(back.select("node", F.col("label").alias("cycle")), "cycle")
+        shared = cycle.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle")
+        found.append(cycle.join(shared, "cycle", "left_semi"))
+        gone = cycle.select("node")
+        left = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        left = _trimmed(materialize(left.select("source", "target"), "edges"))
+    if not found:
+        return edges.limit(0).select(F.col("source").alias("node"), F.col("target").alias("cycle"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("node", "cycle")
 
 
 def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillon.functions import paths
 
@@ -54,8 +53,8 @@ def by_suffix(nodes: DataFrame, path: str, query: list[str], anchored: bool = Fa
     """Nodes whose path ends with query; anchored: is query. Of several, only the one that is query itself, if there is one."""
     want = F.array(*map(F.lit, query)).cast("array<string>")
     hits = nodes.where(F.col(path) == want) if anchored else nodes.where(paths.has_suffix(path, want))
-    exact = F.when(F.col(path) == want, 0).otherwise(1)
-    return hits.withColumn("__rank", exact).withColumn("__best", F.min("__rank").over(W.partitionBy())).where("__rank = __best").drop("__rank", "__best")
+    exact = hits.where(F.col(path) == want)
+    return hits if anchored or exact.isEmpty() else exact
 
 
 def inherited_visibility(rows: DataFrame, owners: DataFrame, on: list[str], own: str = "vis", above: str = "owner_vis", otherwise: int = 0) -> DataFrame:

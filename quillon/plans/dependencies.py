@@ -54,10 +54,8 @@ def deps_incoming(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fan_in_out(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct nations on both ends, over edges that hold at least an average share of lines."""
-    pairs = materialize(_uses(spark, sf).groupBy("source", "target").agg(F.count("*").alias("n")), "pairs")
-    mean = pairs.agg(F.avg("n")).first()[0] or 0.0
-    return _names(graph.fan(pairs.where(F.col("n") >= mean)), "node")
+    """Distinct nations on both ends of all edges."""
+    return _names(graph.fan(_uses(spark, sf).select("source", "target")), "node")
 
 
 def dependency_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +111,7 @@ ORACLES = {
     "deps_outgoing": f"WITH {_U} SELECT tr AS key, count(DISTINCT l_orderkey) AS orders FROM u WHERE sr = 'EUROPE' AND tr <> 'EUROPE' GROUP BY tr",
     "deps_incoming": f"""WITH {_U} SELECT sr || '::' || sn AS key, min(l_orderkey) AS first_order, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities
 FROM u WHERE tr = 'ASIA' AND sr <> 'ASIA' GROUP BY sr, sn""",
-    "fan_in_out": f"""WITH {_U}, p AS (SELECT sn, tn, count(*) AS n FROM u GROUP BY sn, tn), h AS (SELECT sn, tn FROM p WHERE n >= (SELECT avg(n) FROM p) AND sn <> tn),
+    "fan_in_out": f"""WITH {_U}, h AS (SELECT DISTINCT sn, tn FROM u WHERE sn <> tn),
 x AS (SELECT sn AS node, 1 AS o, 0 AS i FROM h UNION ALL SELECT tn, 0, 1 FROM h) SELECT node, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i) AS BIGINT) AS fan_in FROM x GROUP BY node""",
     "dependency_tree": f"WITH {_U} SELECT sr AS scope, tr AS region, tn AS nation, count(DISTINCT l_orderkey) AS orders FROM u WHERE sr <> tr GROUP BY GROUPING SETS ((sr, tr), (sr, tr, tn))",
     "externals_split": """WITH x AS (SELECT p_brand, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_suppkey END) AS main_uses, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS test_uses

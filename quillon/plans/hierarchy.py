@@ -29,10 +29,9 @@ def subtree_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deepest_ancestor(spark: SparkSession, sf: str) -> DataFrame:
-    """The deepest node above each page that every third page's host or first segment makes known, and the segment after it."""
+    """The deepest node above each page that two pages or more lie in, and the segment after it."""
     pages = _pages(spark, sf)
-    known = pages.where("page_id % 3 = 0").select(F.slice("path", 1, 2).alias("path"))
-    known = known.union(known.select(F.slice("path", 1, 1)))
+    known = hierarchy.rollup(pages, "path", pages=F.count("*")).where("pages > 1 AND size(node) > 0").select(F.col("node").alias("path"))
     out = hierarchy.deepest_ancestor(pages, "path", known, ["page_id"])
     return out.select("page_id", F.array_join("found", "/").alias("found"), "symbol")
 
@@ -103,8 +102,7 @@ SELECT array_to_string(n.node, '/') AS node, CAST(len(n.node) AS BIGINT) AS dept
 WITH {_P}, r AS (SELECT page_id, list_concat(list_reverse(string_split(m[1], '.')), m[2:]) AS m FROM p)
 SELECT page_id, array_to_string(m, '/') AS node FROM r WHERE m[1:2] = ['com', 'example'] AND len(m) <= 5""",
     "deepest_ancestor": f"""
-WITH {_P}, k AS (SELECT m[1:2] AS k FROM p WHERE page_id % 3 = 0 UNION SELECT m[1:1] FROM p WHERE page_id % 3 = 0),
-x AS (SELECT page_id, m, unnest({_PREFIXES}) AS pre FROM p),
+WITH {_P}, x AS (SELECT page_id, m, unnest({_PREFIXES}) AS pre FROM p), k AS (SELECT pre AS k FROM x WHERE len(pre) > 0 GROUP BY pre HAVING count(*) > 1),
 b AS (SELECT page_id, max(len(pre)) AS n FROM x WHERE pre IN (SELECT k FROM k) GROUP BY page_id)
 SELECT p.page_id, array_to_string(m[1:n], '/') AS found, m[n + 1] AS symbol FROM p LEFT JOIN b USING (page_id)""",
     "longest_prefix_rule": f"""
