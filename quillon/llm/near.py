@@ -270,7 +270,7 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     # the row that stays for a group of classes is the one with the smallest id of all
     placed = materialize(classes.select("digest", "rep", "id").join(found.withColumnRenamed("id", "rep"), "rep", "left"), "placed")
     best = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "rep")).alias("best"))
-    named = placed.join(best, "comp", "left").select("digest", F.coalesce("best.id", "id").alias("component"), F.coalesce("best.rep", "rep").alias("leader"))
+    named = placed.join(bounded(materialize(best, "best")), "comp", "left").select("digest", F.coalesce("best.id", "id").alias("component"), F.coalesce("best.rep", "rep").alias("leader"))
     out = signed.select("row", "doc_id", "tag", "n_shingles", "digest").join(materialize(named, "named"), "digest", "left")
     has_id = F.col("doc_id").isNotNull()
     return out.select("row", "doc_id", "tag", "n_shingles", F.when(has_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("leader", "row")).otherwise(F.col("row")).alias("leader"))
