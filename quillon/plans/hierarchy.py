@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import paths
-from quillon.operators import documents, hierarchy, order
+from quillon.operators import code, documents, hierarchy, order
 from quillon.runtime import materialize
 
 
@@ -75,9 +75,13 @@ def link_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pattern_capture(spark: SparkSession, sf: str) -> DataFrame:
-    """What stands at $T in `$T# n` of brands and types: the captured part before the number, with counts."""
-    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.regexp_extract("p_brand", r"^(.*)#(\d+)$", 1).alias("captured"), F.regexp_extract("p_brand", r"^(.*)#(\d+)$", 2).alias("number"))
-    return parts.groupBy("captured", "number").agg(F.count("*").alias("parts"))
+    """Parts as calls, insert::<brand>() or reg::load(container), and what the patterns `insert::<Brand#$T>` and `load` take from them, counted."""
+    call = F.col("p_partkey") % 3 != 0
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.when(call, "insert").alias("method"), F.when(call, F.col("p_brand")).alias("generics"), F.when(call, "insert").otherwise("reg::load").alias("callee"), F.array("p_type").alias("args")
+    )
+    found = parts.select(code.captured("insert :: <Brand#$T>").alias("brand"), code.captured("load").alias("container"))
+    return found.groupBy("brand", "container").agg(F.count("*").alias("parts"))
 
 
 PATH = "list_filter(string_split(regexp_replace(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '^[a-z]+://', ''), '/'), lambda x: x <> '')"
@@ -121,5 +125,5 @@ k AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]
 s AS (SELECT l.target, CASE WHEN external THEN 'external' WHEN k.target IS NOT NULL THEN 'ok' ELSE 'broken' END AS state FROM l LEFT JOIN k ON k.target = l.target)
 SELECT state, count(*) AS links, count(DISTINCT target) AS targets FROM s GROUP BY state""",
     "pattern_capture": """
-SELECT regexp_extract(p_brand, '^(.*)#(\\d+)$', 1) AS captured, regexp_extract(p_brand, '^(.*)#(\\d+)$', 2) AS number, count(*) AS parts FROM part GROUP BY 1, 2""",
+SELECT CASE WHEN p_partkey % 3 <> 0 THEN regexp_extract(p_brand, '^Brand#(.*)$', 1) END AS brand, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS container, count(*) AS parts FROM part GROUP BY 1, 2""",
 }

@@ -63,19 +63,6 @@ def session_touched(spark: SparkSession, sf: str) -> DataFrame:
     return usage.touched(_read(spark, sf, "conversations", "conv_id").distinct(), made, "conv_id")
 
 
-def guard_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """A cascade of checks on an event; null and unreadable values are let through."""
-    k = F.expr("try_variant_get(try_parse_json(props), '$.k', 'int')")
-    verdict = F.when(F.coalesce((F.col("event_type") == "error") & (k > 50), F.lit(False)), "block").when(F.coalesce(F.col("value") > 90, F.lit(False)), "ask").otherwise("allow")
-    return _read(spark, sf, "events", "event_id", "event_type", "value", "props").select("event_id", verdict.alias("verdict"))
-
-
-def json_field(spark: SparkSession, sf: str) -> DataFrame:
-    """Events by the number in their JSON properties; unreadable lines are left out."""
-    k = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k")
-    return _read(spark, sf, "events", k, "value").where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("events"))
-
-
 def least_visibility(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' visibility (from the balance) cut down to their nation's (from its key); odd nations are unknown."""
     rows = _read(spark, sf, "customer", "c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_acctbal") > 5000, 2).when(F.col("c_acctbal") > 0, 1).otherwise(0).alias("vis"))
@@ -83,12 +70,6 @@ def least_visibility(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.inherited_visibility(rows, owners, ["k"]).select("c_custkey", "vis")
 
 
-def first_seen(spark: SparkSession, sf: str) -> DataFrame:
-    """Date of each user's first event."""
-    out = _read(spark, sf, "events", "user_id", "ts").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_date"))
-    return out
-
-
 _R = """r AS (SELECT event_id, ts, user_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 _D = """n AS (SELECT o_custkey, o_orderkey, o_orderstatus || '|' || CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS signature FROM orders),
@@ -99,7 +80,7 @@ _C = "count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, CAST(sum
 
 QUERIES = {
     f.__name__: f
-    for f in (snapshot_diff, change_counts, run_grouping, first_wins_dedup, consecutive_dedup, interval_overlap, usage_rollup, session_touched, guard_classify, json_field, least_visibility, first_seen)
+    for f in (snapshot_diff, change_counts, run_grouping, first_wins_dedup, consecutive_dedup, interval_overlap, usage_rollup, session_touched, least_visibility)
 }
 ORACLES = {
     "snapshot_diff": f"WITH {_D} SELECT o_custkey, o_orderkey, state FROM d",
@@ -114,9 +95,6 @@ SELECT w AS "window", count(*) AS orders, min(o_orderkey) AS first_order FROM s
     "usage_rollup": f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, {_C} FROM conversations GROUP BY conv_id UNION ALL SELECT 'total', {_C} FROM conversations)
 SELECT *, CASE WHEN turns > 0 THEN CAST(user_turns * 100 // turns AS VARCHAR) ELSE '-' END AS share FROM c""",
     "session_touched": "SELECT DISTINCT conv_id FROM conversations WHERE conv_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
-    "guard_classify": """SELECT event_id, CASE WHEN coalesce(event_type = 'error' AND try_cast(json_extract_string(props, '$.k') AS INTEGER) > 50, false) THEN 'block' WHEN coalesce(value > 90, false) THEN 'ask' ELSE 'allow' END AS verdict FROM events""",
-    "json_field": "SELECT k, count(*) AS events FROM (SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL GROUP BY k",
     "least_visibility": """SELECT c_custkey, least(CASE WHEN c_acctbal > 5000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END, coalesce(n_nationkey % 3, 0)) AS vis
 FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON n_nationkey = c_nationkey""",
-    "first_seen": "SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS first_date FROM events GROUP BY user_id",
 }
