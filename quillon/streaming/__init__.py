@@ -1 +1 @@
-"""The same roll-ups over unbounded input."""
+"""Structured Streaming over session transcripts."""
