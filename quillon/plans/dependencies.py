@@ -14,15 +14,24 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.array("r_name", "n_name").alias("node"))
 
 
+#: Lines that one task joins, about.
+TASK_LINES = 1_000_000
+
+
 def _uses(spark: SparkSession, sf: str) -> DataFrame:
-    """source, target (paths of region and nation), l_orderkey, o_orderpriority of every line."""
+    """source, target (paths of region and nation), l_orderkey, o_orderpriority of every line; dealt out by l_orderkey.
+
+    Only keys go through the large joins, in as many parts as keep the lines of one within TASK_LINES; names come behind them.
+    """
     read = lambda t, *c: spark.read.parquet(f"{sf}/{t}.parquet").select(*c)
     nodes = _nodes(spark, sf)
-    ends = read("customer", "c_custkey", "c_nationkey").join(nodes.toDF("c_nationkey", "source"), "c_nationkey").drop("c_nationkey")
-    made = read("supplier", "s_suppkey", "s_nationkey").join(nodes.toDF("s_nationkey", "target"), "s_nationkey").drop("s_nationkey")
-    lines = read("lineitem", "l_orderkey", "l_suppkey").join(made, F.col("l_suppkey") == F.col("s_suppkey"))
-    orders = read("orders", "o_orderkey", "o_custkey", "o_orderpriority").join(ends, F.col("o_custkey") == F.col("c_custkey"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("source", "target", "l_orderkey", "o_orderpriority")
+    lines, orders = read("lineitem", "l_orderkey", "l_suppkey"), read("orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_LINES))
+    lines = lines.join(read("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
+    orders = orders.join(read("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "o_orderpriority")
+    met = lines.repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = met.join(F.broadcast(nodes.toDF("c_nationkey", "source")), "c_nationkey").join(F.broadcast(nodes.toDF("s_nationkey", "target")), "s_nationkey")
+    return named.select("source", "target", "l_orderkey", "o_orderpriority")
 
 
 def _sparse(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,9 +69,12 @@ def fan_in_out(spark: SparkSession, sf: str) -> DataFrame:
 
 def dependency_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Outgoing edges of every region grouped at both levels below the root: distinct orders and nations."""
-    uses = _uses(spark, sf).where(F.get("source", F.lit(0)) != F.get("target", F.lit(0))).select(F.get("source", F.lit(0)).alias("scope"), F.get("target", F.lit(0)).alias("region"), F.get("target", F.lit(1)).alias("nation"), "l_orderkey")
-    out = uses.groupingSets([["scope", "region"], ["scope", "region", "nation"]], "scope", "region", "nation").agg(F.count_distinct("l_orderkey").alias("orders"))
-    return out.select("scope", "region", "nation", "orders")
+    part = lambda c, n: F.get(c, F.lit(n))
+    uses = _uses(spark, sf).where(part("source", 0) != part("target", 0)).select("l_orderkey", part("source", 0).alias("scope"), part("target", 0).alias("region"), part("target", 1).alias("nation"))
+    # the lines of an order are in one task: there each order becomes a row for each of its regions, and counting needs no distinct
+    orders = uses.groupBy("l_orderkey", "scope", "region", "nation").agg(F.lit(1).alias("one")).groupBy("l_orderkey", "scope", "region").agg(F.collect_list("nation").alias("nations"))
+    levels = orders.select("scope", "region", F.explode(F.concat("nations", F.array(F.lit(None).cast("string")))).alias("nation"))
+    return levels.groupBy("scope", "region", "nation").agg(F.count("*").alias("orders"))
 
 
 def externals_split(spark: SparkSession, sf: str) -> DataFrame:
