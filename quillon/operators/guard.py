@@ -6,16 +6,19 @@ Everything that is unclear is let through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import shell
-from quillon.runtime import ship
+from quillon.runtime import materialize, ship
 
 #: Whole-file reads of indexed files up to this many lines pass.
 WHOLE_FILE_LINES = 100
+#: Unlike calls of which a Python process remembers what they ask for; the same few are made again and again.
+ASKED_KEPT = 4096
 REQUEST = "call_id long, pos int, kind string, how string, paths array<string>, names array<string>, low long, high long"
 _ARROW = pa.schema([("call_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("how", pa.string()), ("paths", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("low", pa.int64()), ("high", pa.int64())])
 INPUT = "struct<file_path: string, offset: long, limit: long, pattern: string, path: string, glob: string, type: string, command: string>"
@@ -30,24 +33,30 @@ def requests(calls: DataFrame, extensions: tuple[str, ...], types: tuple[str, ..
     given = calls.select("call_id", "tool_name", F.from_json("tool_input", INPUT).alias("i")).where("tool_name IN ('Read', 'Grep', 'Bash')")
     rows = given.select("call_id", "tool_name", "i.*").where("coalesce(file_path, pattern, command) IS NOT NULL")
 
+    def asked(tool: str, file_path, offset, limit, pattern, path, glob, type, command) -> tuple[dict, ...]:
+        found = []
+        if tool == "Read" and file_path and not (offset or limit):
+            found = [{"pos": 0, "kind": "whole", "how": "Read", "paths": [shell.lexical(file_path)]}]
+        elif tool == "Grep" and pattern:
+            other = glob and not any(e in glob for e in extensions) or type and type not in types
+            found = [] if other else [{"pos": 0, "kind": "search", "how": "Grep", "paths": [shell.lexical(path or ".")], "pattern": pattern}]
+        elif tool == "Bash" and command:
+            found = shell.requests(command, extensions)
+        out = []
+        for f in found:
+            pattern = f.pop("pattern", None)
+            names = shell.alternatives(pattern, keywords) if pattern else None
+            if f["kind"] != "search" or names:
+                out.append({"names": names, "low": None, "high": None} | f)
+        return tuple(out)
+
+    columns = ("tool_name", "file_path", "offset", "limit", "pattern", "path", "glob", "type", "command")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = lru_cache(ASKED_KEPT)(asked)
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                found = []
-                if r["tool_name"] == "Read" and r["file_path"] and not (r["offset"] or r["limit"]):
-                    found = [{"pos": 0, "kind": "whole", "how": "Read", "paths": [shell.lexical(r["file_path"])]}]
-                elif r["tool_name"] == "Grep" and r["pattern"]:
-                    other = r["glob"] and not any(e in r["glob"] for e in extensions) or r["type"] and r["type"] not in types
-                    found = [] if other else [{"pos": 0, "kind": "search", "how": "Grep", "paths": [shell.lexical(r["path"] or ".")], "pattern": r["pattern"]}]
-                elif r["tool_name"] == "Bash" and r["command"]:
-                    found = shell.requests(r["command"], extensions)
-                for f in found:
-                    pattern = f.pop("pattern", None)
-                    names = shell.alternatives(pattern, keywords) if pattern else None
-                    if f["kind"] != "search" or names:
-                        out.append({"call_id": r["call_id"], "names": names, "low": None, "high": None} | f)
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+            given = zip(b.column("call_id").to_pylist(), *(b.column(c).to_pylist() for c in columns))
+            yield pa.RecordBatch.from_pylist([{"call_id": call} | f for call, *rest in given for f in remembered(*rest)], schema=_ARROW)
 
     return rows.mapInArrow(run, REQUEST)
 
@@ -58,6 +67,7 @@ def judged(calls: DataFrame, asked: DataFrame, files: DataFrame, names: DataFram
     whole: a read of an indexed file of more than WHOLE_FILE_LINES lines. range: lines of an indexed file. search: every alternative is a known name,
     and the path is an indexed file or a folder with some. The first request that is blocked decides.
     """
+    asked = materialize(asked, "asked")  # read four times below; as a plan its commands would be parsed as often
     path = F.explode("paths").alias("path")
     reads = asked.where("kind <> 'search'").select("call_id", "pos", "kind", "how", path).join(files.select("path", "lines"), "path")
     blocked = reads.where((F.col("kind") == "range") | (F.col("lines") > WHOLE_FILE_LINES)).select("call_id", "pos", "kind", "how")
