@@ -35,20 +35,18 @@ PACK = {
 DERIVED = {"Component": "component", "Resource": "resource", "Event": "event", "Message": "event", "EntityEvent": "event", "SystemParam": "system param", "States": "state", "SubStates": "state", "Bundle": "bundle", "Asset": "asset"}
 
 
-def _located(cat: Catalog, rows: DataFrame) -> DataFrame:
-    return rows.join(cat.files.select("project_id", "file_id", "module"), ["project_id", "file_id"])
+def _absolute(rows: DataFrame, cat: Catalog, declared: DataFrame) -> DataFrame:
+    """rows (project_id, module, segs, ...) with tag and abs, by the first segment. declared: project_id, first, declared.
 
-
-def _absolute(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
-    """rows (project_id, module, segs, ...) with tag and abs, by the first segment.
-
-    crate, self and super are arithmetic; standard and declared packages come before child modules; what is none of these stays `name`.
+    crate, self and super are arithmetic; standard and declared packages come before child modules; what is none of these stays `name`. Only names
+    that are none of the others are looked for among the modules, each once for a module; the rows themselves meet no more than the hits.
     """
     first = F.get("segs", F.lit(0))
-    named = rows.withColumn("first", first)
-    named = named.join(bounded(externals.select("project_id", F.col("name").alias("first")).distinct()).withColumn("declared", F.lit(True)), ["project_id", "first"], "left")
-    named = named.withColumn("child", F.concat("module", F.array("first")))
-    named = named.join(cat.modules.select("project_id", F.col("module").alias("child"), F.lit(True).alias("is_child")), ["project_id", "child"], "left")
+    named = rows.withColumn("first", first).join(declared, ["project_id", "first"], "left")
+    plain = ~F.col("first").isin("crate", "self", "super", *STANDARD["rust"]) & F.col("declared").isNull()
+    asked = named.where(plain).select("project_id", F.concat("module", F.array("first")).alias("child")).distinct()
+    hits = materialize(asked.join(cat.modules.select("project_id", F.col("module").alias("child")).hint("merge"), ["project_id", "child"]), "children")
+    named = named.withColumn("child", F.concat("module", F.array("first"))).join(bounded(hits).withColumn("is_child", F.lit(True)), ["project_id", "child"], "left")
     others = F.transform("segs", lambda s: s != "super")
     ups = F.coalesce(F.nullif(F.array_position(others, True), F.lit(0)).cast("int") - 1, F.size("segs"))
     rest = lambda n: F.slice("segs", n + 1, F.size("segs"))
@@ -72,8 +70,8 @@ def resolved(cat: Catalog, externals: DataFrame, aliases: DataFrame | None = Non
     exact); a null prefix is the folder that other names are looked for in.
     """
     if cat.language == "typescript":
-        return resolve_script(_located(cat, cat.refs), cat, externals, aliases)
-    return resolve(_located(cat, cat.refs), cat, externals)
+        return resolve_script(cat.located("refs"), cat, externals, aliases)
+    return resolve(cat.located("refs"), cat, externals)
 
 
 def normal_module(path: Column) -> Column:
@@ -89,28 +87,29 @@ def resolve_script(rows: DataFrame, cat: Catalog, externals: DataFrame, aliases:
     Anchored paths are modules' already. Others are, in this order, what the longest alias makes of them, what lies in the base folder (if its first
     segment is a module there), a package that is declared or comes with the language, or nothing known.
     """
-    key, first, none = ["project_id", "file_id", "seq"], F.get("segments", F.lit(0)), F.lit(None).cast("array<string>")
+    first = F.get("segments", F.lit(0))
+    rows = rows.drop("import")
     if aliases is None:
         aliases = rows.sparkSession.createDataFrame([], "project_id string, prefix string, exact boolean, target array<string>")
     joined = F.array_join("segments", "/")
-    bare = materialize(rows.where("NOT anchored").select(*key, "segments"), "bare")
+    # what a path means depends on its project only, so each is looked up once
+    bare = materialize(rows.where("NOT anchored").select("project_id", "segments").distinct(), "bare")
     rules = bounded(aliases.where("prefix IS NOT NULL"))
     fits = bare.join(rules, "project_id").where(F.when(F.col("exact"), joined == F.col("prefix")).otherwise(F.startswith(joined, F.col("prefix"))))
     rest = F.filter(F.split(F.substring(joined, F.length("prefix") + 1, F.length(joined)), "/"), lambda x: x != "")
-    claimed = fits.groupBy(*key).agg(F.min_by(F.concat("target", rest), F.struct(-F.length("prefix"), "prefix")).alias("claimed"))
+    claimed = fits.groupBy("project_id", "segments").agg(F.min_by(F.concat("target", rest), F.struct(-F.length("prefix"), "prefix")).alias("claimed"))
     bases = bounded(aliases.where("prefix IS NULL").select("project_id", F.col("target").alias("base")))
-    known = bounded(cat.modules.select("project_id", "module"))
-    lying = bare.join(bases, "project_id").withColumn("module", F.concat("base", F.array(first))).join(known, ["project_id", "module"]).select(*key, F.concat("base", "segments").alias("lying"))
-    named = rows.join(claimed, key, "left").join(lying, key, "left")
+    known = cat.modules.select("project_id", "module").hint("merge")
+    lying = bare.join(bases, "project_id").withColumn("module", F.concat("base", F.array(first))).join(known, ["project_id", "module"]).select("project_id", "segments", F.concat("base", "segments").alias("lying"))
+    meant = claimed.join(lying, ["project_id", "segments"], "full").withColumn("anchored", F.lit(False))
+    named = rows.join(bounded(materialize(meant, "meant")), ["project_id", "segments", "anchored"], "left")
     declared = bounded(externals.select("project_id", F.col("name").alias("first"), F.lit(True).alias("declared")).distinct())
     named = named.withColumn("first", first).join(declared, ["project_id", "first"], "left")
     taken = F.coalesce("claimed", "lying")
     where = F.when(F.col("anchored"), F.col("segments")).when(taken.isNotNull(), normal_module(taken))
     tag = F.when(where.isNotNull(), "internal").when(F.col("first").isin(*STANDARD["typescript"]) | F.coalesce("declared", F.lit(False)), "external").otherwise("other")
     every = materialize(named.withColumns({"tag": tag, "abs": where}).drop("claimed", "lying", "declared"), "resolved")
-    inside = _targets(every.where("tag = 'internal'"), cat)
-    outside = every.where("tag <> 'internal'").withColumns({"target": none, "symbol": F.lit(None).cast("string")})
-    return inside.unionByName(outside).withColumn("package", F.when(F.col("tag") == "external", F.col("first"))).drop("first", "abs")
+    return _aimed(every, cat)
 
 
 def resolve(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
@@ -118,27 +117,34 @@ def resolve(rows: DataFrame, cat: Catalog, externals: DataFrame) -> DataFrame:
 
     A name that is nothing else is looked up once among the imports of its file: the first of them, inline paths included, that ends with it.
     """
-    known = _absolute(rows.withColumn("segs", F.col("segments")), cat, externals)
-    imports = cat.refs.where("NOT glob AND size(segments) > 1").groupBy("project_id", "file_id", F.element_at("segments", -1).alias("first"))
-    imports = imports.agg(F.min_by("segments", "seq").alias("import"))
-    direct = known.where("tag <> 'name'")
-    named = known.where("tag = 'name'").drop("tag", "abs").join(imports, ["project_id", "file_id", "first"], "left").drop("first")
+    declared = bounded(externals.select("project_id", F.col("name").alias("first")).distinct()).withColumn("declared", F.lit(True))
+    if "import" not in rows.columns:
+        imports = cat.refs.where("NOT glob AND size(segments) > 1").groupBy("project_id", "file_id", F.element_at("segments", -1).alias("last"))
+        imports = imports.agg(F.min_by("segments", "seq").alias("import"))
+        rows = rows.withColumn("last", F.get("segments", F.lit(0))).join(imports, ["project_id", "file_id", "last"], "left").drop("last")
+    known = materialize(_absolute(rows.withColumn("segs", F.col("segments")), cat, declared), "known")
+    direct = known.where("tag <> 'name'").drop("import")
+    named = known.where("tag = 'name'").drop("tag", "abs", "first")
     followed = named.where("import IS NOT NULL").withColumn("segs", F.concat("import", F.slice("segs", F.lit(2), F.size("segs"))))
-    again = _absolute(followed, cat, externals).withColumn("tag", F.when(F.col("tag") == "name", "other").otherwise(F.col("tag"))).drop("import")
+    again = _absolute(followed, cat, declared).withColumn("tag", F.when(F.col("tag") == "name", "other").otherwise(F.col("tag"))).drop("import")
     none = named.where("import IS NULL").withColumns({"tag": F.lit("other"), "abs": F.array().cast("array<string>"), "first": F.lit(None).cast("string")}).drop("import")
-    every = materialize(reduce(DataFrame.unionByName, (direct, again, none)), "resolved")
-    inside = _targets(every.where("tag = 'internal'"), cat)
-    outside = every.where("tag <> 'internal'").withColumns({"target": F.lit(None).cast("array<string>"), "symbol": F.lit(None).cast("string")})
-    out = inside.unionByName(outside).withColumn("package", F.when(F.col("tag") == "external", F.col("first")))
-    return out.drop("first", "segs", "abs")
+    every = reduce(DataFrame.unionByName, (direct, again, none))
+    return _aimed(every, cat).drop("segs")
 
 
-def _targets(rows: DataFrame, cat: Catalog) -> DataFrame:
-    """rows (abs) with target, the deepest module on the way to abs, and symbol, the segment behind it."""
-    steps = rows.select(*_REF, F.explode(paths.prefixes("abs")).alias("module")).join(cat.modules, ["project_id", "module"])
-    best = steps.groupBy(*_REF).agg(F.max(F.size("module")).alias("n"))
-    found = rows.join(best, _REF, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return found.withColumns({"target": F.slice("abs", F.lit(1), F.col("n")), "symbol": F.get("abs", F.col("n"))}).drop("n")
+def _aimed(every: DataFrame, cat: Catalog) -> DataFrame:
+    """rows (project_id, first, tag, abs) with package and, if internal, target, the deepest module on the way to abs, and symbol, the segment behind it.
+
+    Every path is looked up once for its project; rows meet only what was found, which has a row for each unlike path.
+    """
+    inside, outside = every.where("tag = 'internal'"), every.where("tag <> 'internal'")
+    asked = inside.select("project_id", "abs").distinct()
+    steps = asked.select("project_id", "abs", F.explode(paths.prefixes("abs")).alias("module")).join(cat.modules.hint("merge"), ["project_id", "module"])
+    best = bounded(materialize(steps.groupBy("project_id", "abs").agg(F.max(F.size("module")).alias("n")), "targets"))
+    found = inside.join(best, ["project_id", "abs"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = found.withColumns({"target": F.slice("abs", F.lit(1), F.col("n")), "symbol": F.get("abs", F.col("n"))}).drop("n")
+    outside = outside.withColumns({"target": F.lit(None).cast("array<string>"), "symbol": F.lit(None).cast("string")})
+    return found.unionByName(outside).withColumn("package", F.when(F.col("tag") == "external", F.col("first"))).drop("first", "abs")
 
 
 def edges(references: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def relations(cat: Catalog, patterns: list[tuple[str, str]], pack: bool = False)
 
     Test code is left out. Of equal relations of a file the first stays; place orders those of a line as they stand in the source.
     """
-    calls = _located(cat, cat.calls.where("NOT in_test")).withColumn("args", F.col("args"))
+    calls = cat.located("calls").where("NOT in_test")
     found = []
     if pack:
         first, second = (brief(F.get("args", F.lit(i))) for i in (0, 1))
@@ -207,7 +213,7 @@ def relations(cat: Catalog, patterns: list[tuple[str, str]], pack: bool = False)
         found.append(calls.withColumns({"idx": F.lit(-1), "is_ref": F.lit(0), "kind": kind, "target": target}))
         heads = F.transform("segments", lambda s: ~s.isin("super", "self", "crate"))
         rest = F.when(F.array_position(heads, True) > 0, F.slice("segments", F.greatest(F.array_position(heads, True).cast("int"), F.lit(1)), F.size("segments"))).otherwise(F.array().cast("array<string>"))
-        plugins = _located(cat, cat.refs.where("NOT in_test AND owner IS NOT NULL AND size(segments) > 1 AND element_at(segments, -1) = 'plugin'"))
+        plugins = cat.located("refs").where("NOT in_test AND owner IS NOT NULL AND size(segments) > 1 AND element_at(segments, -1) = 'plugin'")
         found.append(plugins.withColumns({"idx": F.lit(0), "is_ref": F.lit(1), "kind": F.lit("plugin"), "target": F.array_join(rest, "::")}))
     for i, (name, pattern) in enumerate(patterns):
         found.append(calls.withColumns({"idx": F.lit(i), "is_ref": F.lit(0), "kind": F.lit(name), "target": captured(pattern)}))
@@ -221,9 +227,9 @@ def relations(cat: Catalog, patterns: list[tuple[str, str]], pack: bool = False)
 
 def labels(cat: Catalog, pack: bool = False) -> DataFrame:
     """project_id, file_id, seq, labels: framework labels of derives, then `impl Trait` of the same module for items without an owner."""
-    items = _located(cat, cat.items)
+    items = cat.located("items")
     derived = F.filter(F.transform("derives", lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in DERIVED.items() for x in kv)), d)), lambda x: x.isNotNull()) if pack else F.array().cast("array<string>")
-    impls = _located(cat, cat.trait_impls).groupBy("project_id", "module", F.col("ty").alias("name"))
+    impls = cat.located("trait_impls").groupBy("project_id", "module", F.col("ty").alias("name"))
     impls = impls.agg(F.transform(F.array_sort(F.collect_list(F.struct("file_id", "seq", "trait_name"))), lambda t: F.concat(F.lit("impl "), t["trait_name"])).alias("impls"))
     joined = items.join(impls, ["project_id", "module", "name"], "left")
     own = F.when(F.col("owner").isNull(), F.coalesce("impls", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
@@ -232,7 +238,7 @@ def labels(cat: Catalog, pack: bool = False) -> DataFrame:
 
 def public_items(cat: Catalog, least: int = 1) -> DataFrame:
     """Visible items that are not re-exports, with documented."""
-    return _located(cat, cat.items.where(f"NOT hidden AND NOT test_only AND kind <> 'use' AND vis >= {least}")).withColumn("documented", docs.is_documented("doc"))
+    return cat.located("items").where(f"NOT hidden AND NOT test_only AND kind <> 'use' AND vis >= {least}").withColumn("documented", docs.is_documented("doc"))
 
 
 def find(cat: Catalog, segments: list[str], anchored: bool = False) -> DataFrame:
@@ -253,7 +259,7 @@ def find(cat: Catalog, segments: list[str], anchored: bool = False) -> DataFrame
     ahead, above = (F.array(*map(F.lit, p)).cast("array<string>") for p in (prefix, prefix[:-1]))
     here = fits(F.col("module"), ahead) if prefix else F.lit(True)
     owned = F.when(F.col("owner") == prefix[-1], fits(F.col("module"), above)).otherwise(here) if prefix else here
-    items = _located(cat, cat.items.where(F.col("name") == name)).where(owned).withColumn("rank", F.when(F.col("kind") == "use", 1).otherwise(0))
+    items = cat.located("items").where(F.col("name") == name).where(owned).withColumn("rank", F.when(F.col("kind") == "use", 1).otherwise(0))
     items = items.withColumn("best", F.min("rank").over(per)).where("rank = best")
     return modules.union(items.select("project_id", F.lit("item").alias("what"), "module", "file_id", "seq"))
 
@@ -271,7 +277,7 @@ def callers(cat: Catalog, externals: DataFrame, module: list[str], name: str, ow
     resolves to it. In the item's own module a single segment that resolves to nothing means it too.
     """
     segs = F.filter(F.split(docs.without_generics(F.regexp_replace("callee", "::<", "<")), "::"), lambda x: x != "")
-    calls = _located(cat, cat.calls.where("NOT in_test AND method IS NULL").withColumn("segs", segs)).where(F.element_at(F.when(F.size("segs") > 0, F.col("segs")), -1) == name)
+    calls = cat.located("calls").where("NOT in_test AND method IS NULL").withColumn("segs", segs).where(F.element_at(F.when(F.size("segs") > 0, F.col("segs")), -1) == name)
     before = F.slice("segs", F.lit(1), F.greatest(F.size("segs") - 1, F.lit(0)))
     here = F.col("module") == F.array(*map(F.lit, module)).cast("array<string>")
     calls = calls.withColumns({"segments": before if owner else F.col("segs"), "local": here})
@@ -304,5 +310,5 @@ def check_counts(cat: Catalog, scope: list[str] | None = None) -> DataFrame:
     text = lambda c: docs.summary(F.array_join(c, "\n"))
     files = inside(cat.files).groupBy("project_id").agg(F.count_if(text("module_doc").isNotNull()).alias("module_docs"), F.count("*").alias("modules"), F.count_if("parse_errors").alias("syntax_errors"))
     items = inside(public_items(cat)).groupBy("project_id").agg(F.count_if("documented").alias("documented"), F.count("*").alias("public_items"))
-    tests = inside(_located(cat, cat.tests)).groupBy("project_id").agg(F.count_if(text("doc").isNotNull()).alias("test_docs"), F.count("*").alias("tests"))
+    tests = inside(cat.located("tests")).groupBy("project_id").agg(F.count_if(text("doc").isNotNull()).alias("test_docs"), F.count("*").alias("tests"))
     return files.join(items, "project_id", "left").join(tests, "project_id", "left").na.fill(0)

@@ -217,7 +217,7 @@ class Reports:
             docless = F.when(F.col("is_new"), F.col("module_doc")).otherwise(F.when(F.size("module_doc") > 0, F.col("module_doc")).otherwise(F.array(F.lit("not asked for"))))
             files = inside.withColumn("module_doc", docless).select(*self.cat.files.columns)
             part = copy(self)
-            part.cat = replace(self.cat, files=files, items=materialize(items, "items"), tests=self.cat.tests.join(files.select("project_id", "file_id"), ["project_id", "file_id"], "left_semi"))
+            part.cat = replace(self.cat, placed={}, files=files, items=materialize(items, "items"), tests=self.cat.tests.join(files.select("project_id", "file_id"), ["project_id", "file_id"], "left_semi"))
             part.links = lambda: self.links().join(files.select("project_id", "file_id"), ["project_id", "file_id"], "left_semi")
             return part.check(scope)
         scope = list(scope)

@@ -89,6 +89,7 @@ export { inner as outer }
 def _files(spark: SparkSession, sf: str, text: str, extension: str, documented: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     first = rows.groupBy("c_nationkey").agg(F.min("c_custkey").alias("m"))
+    rows = rows.repartition("c_custkey")  # a small file is one partition; the texts are many times its size
     put: Column = F.lit(text)
     doc = F.when(F.col("c_acctbal") > 0, documented).otherwise("")
     for name, value in (("k", F.col("c_custkey").cast("string")), ("m", F.col("m").cast("string")), ("seg", F.col("c_mktsegment")), ("doc", doc)):
@@ -106,15 +107,13 @@ def _script(spark: SparkSession, sf: str) -> Catalog:
 
 
 def _items(cat: Catalog) -> DataFrame:
-    where = cat.files.select("project_id", "file_id", "path")
     text = lambda c, by: F.array_join(c, by).alias(c)
     kept = ("seq", "kind", "owner", "name", F.col("vis").cast("int").alias("vis"), "signature", text("doc", "|"), "start_line", "decl_line", "end_line", text("fields", "|"), text("derives", "|"), "hidden")
-    return cat.items.join(where, ["project_id", "file_id"]).select("path", *kept)
+    return cat.located("items").select(F.col("in_file").alias("path"), *kept)
 
 
-def _references(cat: Catalog, found: DataFrame) -> DataFrame:
-    where = cat.files.select("project_id", "file_id", "path")
-    return found.join(where, ["project_id", "file_id"]).select("path", "seq", "line", F.array_join("segments", "::").alias("name"), "in_test", "tag", "package", F.array_join("target", "::").alias("target"), "symbol")
+def _references(found: DataFrame) -> DataFrame:
+    return found.select(F.col("in_file").alias("path"), "seq", "line", F.array_join("segments", "::").alias("name"), "in_test", "tag", "package", F.array_join("target", "::").alias("target"), "symbol")
 
 
 def _declared(cat: Catalog, name: str) -> DataFrame:
@@ -129,14 +128,13 @@ def rust_items(spark: SparkSession, sf: str) -> DataFrame:
 def rust_references(spark: SparkSession, sf: str) -> DataFrame:
     """References of all files and what they mean."""
     cat = _rust(spark, sf)
-    return _references(cat, code.resolved(cat, _declared(cat, "serde")))
+    return _references(code.resolved(cat, _declared(cat, "serde")))
 
 
 def rust_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of all files with who makes them."""
     cat = _rust(spark, sf)
-    rows = cat.calls.join(cat.files.select("project_id", "file_id", "path", "module"), ["project_id", "file_id"])
-    return rows.select("path", "seq", "callee", F.array_join("args", ",").alias("args"), "line", "in_test", code.owner_name().alias("caller"))
+    return cat.located("calls").select(F.col("in_file").alias("path"), "seq", "callee", F.array_join("args", ",").alias("args"), "line", "in_test", code.owner_name().alias("caller"))
 
 
 def rust_users(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +169,7 @@ def script_references(spark: SparkSession, sf: str) -> DataFrame:
     """Imports of all files and what they mean; @/ stands for the source folder."""
     cat = _script(spark, sf)
     rules = cat.files.select("project_id", F.lit("@/").alias("prefix"), F.lit(False).alias("exact"), F.array().cast("array<string>").alias("target")).distinct()
-    return _references(cat, code.resolved(cat, _declared(cat, "@kit/pack"), rules))
+    return _references(code.resolved(cat, _declared(cat, "@kit/pack"), rules))
 
 
 def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +187,7 @@ def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def guard_judged(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a call of a tool: whole reads, ranges and searches by its number, judged against the files of suppliers."""
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("event_id") % 97).cast("string").alias("n"), (F.col("event_id") % 8).alias("kind"))
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id").repartition("event_id").select("event_id", (F.col("event_id") % 97).cast("string").alias("n"), (F.col("event_id") % 8).alias("kind"))
     path, name = F.concat(F.lit("src/f"), F.col("n"), F.lit(".rs")), F.concat(F.lit("Name"), F.col("n"))
     inputs = [
         ("Read", F.to_json(F.struct(path.alias("file_path")))),
