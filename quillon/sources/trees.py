@@ -65,10 +65,9 @@ def parsed(files: DataFrame, language: str, source_dir: str = "src", numbered: b
     module_of, parse = _adapter(language)
     ship(files.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = [p for p in source_dir.split("/") if p not in ("", ".")]
         part, last, nth = TaskContext.get().partitionId(), None, 0
-        gc.disable()  # what a parser makes has no cycles; looking for some takes a third of the time
         for batch in batches:
             rows = []
             for project, path, source in zip(*(batch.column(c).to_pylist() for c in ("project_id", "path", "source"))):
@@ -90,7 +89,13 @@ def parsed(files: DataFrame, language: str, source_dir: str = "src", numbered: b
                 last = project
                 rows.append({"project_id": project, "path": path, "module": module, "part": part, "nth": nth} | found)
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(numbered))
-        gc.enable()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # what a parser makes has no cycles; looking for some takes up to a third of the time
+        try:
+            yield from read(batches)
+        finally:
+            gc.enable()
 
     return files.select("project_id", "path", "source").mapInArrow(run, PARSED + (", part int, nth int" if numbered else ""))
 
